@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 512
 #: Bytes of text that the vectorised word splitter handles at a time.
 BLOCK_BYTES = 1 << 21
+#: Tables of ids and numbers are broadcast up to this number of rows (about 16 MB); beyond it they are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def tune(spark: SparkSession) -> None:

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, packing, pii, sharding, token_files, tokens
-from .common import Scratch, documents
+from . import fingerprint, language, minhash, packing, pii, quality, sharding, token_files, tokens
+from .common import Scratch, documents, held_out
 
 SHARDS = 16
 
@@ -21,6 +21,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), tree, tree.grant("region1", "rack3", SHARDS, 1.0))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", held_out("doc_id", 5, 0))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out("doc_id", 5, 0))
+    return quality.score(docs, quality.learn(docs, labels), "text", "doc_id", "held_out")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     token_files.write(documents(spark, sf_dir), scratch.path("tokens"), tokens.default_path())
@@ -32,12 +38,22 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edited(documents(spark, sf_dir))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", held_out("doc_id", 3, 1))
+    return language.predict(docs, language.learn(docs.where("not held_out")), "text", "doc_id", "held_out")
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), Scratch(spark))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), Scratch(spark), tokens.default_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_sharding, op4_token_files, op5_fingerprint, op9_packing)
+    f.__name__: f
+    for f in (op1_pii, op2_sharding, op3_quality, op4_token_files, op5_fingerprint, op6_language, op8_near_duplicates, op9_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
