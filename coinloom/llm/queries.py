@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, language, minhash, packing, pii, quality, sharding, token_files, tokens
+from . import embedding, fingerprint, language, minhash, packing, pii, quality, sharding, token_files, tokens
 from .common import Scratch, documents, held_out
 
 SHARDS = 16
@@ -51,9 +51,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), Scratch(spark), tokens.default_path())
 
 
+def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Scratch(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii, op2_sharding, op3_quality, op4_token_files, op5_fingerprint, op6_language, op8_near_duplicates, op9_packing)
+    for f in (op1_pii, op2_sharding, op3_quality, op4_token_files, op5_fingerprint, op6_language, op8_near_duplicates, op9_packing, op10_embedding)
 }
 
 ORACLE_SQL: dict[str, str] = {}
