@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embedding, fingerprint, language, minhash, packing, pii, quality, sharding, token_files, tokens
+from . import embedding, fingerprint, language, minhash, packing, pii, quality, sentencepieces, sharding, token_files, tokens
 from .common import Scratch, documents, held_out
 
 SHARDS = 16
@@ -43,6 +44,14 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.learn(docs.where("not held_out")), "text", "doc_id", "held_out")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = sentencepieces.default_path()
+    encoded = sentencepieces.encode(documents(spark, sf_dir), Scratch(spark), path)
+    done = sentencepieces.decode(encoded, path)
+    crc = F.crc32(F.col("text").cast("binary"))
+    return done.select("doc_id", "n_chars", "n_tokens", "ids_crc32", crc.alias("decoded_crc32"), (crc == F.col("text_crc32")).alias("round_trip"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), Scratch(spark))
 
@@ -57,7 +66,7 @@ def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii, op2_sharding, op3_quality, op4_token_files, op5_fingerprint, op6_language, op8_near_duplicates, op9_packing, op10_embedding)
+    for f in (op1_pii, op2_sharding, op3_quality, op4_token_files, op5_fingerprint, op6_language, op7_sentencepiece, op8_near_duplicates, op9_packing, op10_embedding)
 }
 
 ORACLE_SQL: dict[str, str] = {}
