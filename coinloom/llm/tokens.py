@@ -16,8 +16,8 @@ import numpy as np
 
 #: Id that ends each document.
 END_ID = 2
-#: Pieces that a Python worker remembers with their ids (about 200 MB); later ones are encoded anew.
-CACHE_PIECES = 800_000
+#: Pieces that a Python worker remembers with their ids (about 250 MB); later ones are encoded anew.
+CACHE_PIECES = 1_000_000
 #: Longer pieces are not remembered.
 CACHE_CHARS = 48
 #: White space other than the ASCII kinds, and controls that libraries judge differently.
@@ -27,6 +27,17 @@ _CUT = re.compile(r"(?<=[^ \t\n\r\x0b\x0c])(?= )")
 _GAPS = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
 
 
+def _places(ids: list) -> list[int]:
+    """Where a list holds None."""
+    at, i = [], -1
+    try:
+        while True:
+            i = ids.index(None, i + 1)
+            at.append(i)
+    except ValueError:
+        return at
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids. One per worker process and file."""
 
@@ -40,6 +51,9 @@ class Encoder:
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         names = (self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size()))
         self.n_bytes = np.array([len(x) for x in names], dtype=np.int64)  # a character a byte
+        self.marks = {m: self._whole(m) for m in ".,"}
+        if hasattr(self.library.model, "_resize_cache"):
+            self.library.model._resize_cache(0)  # the cache below takes its place
         self.cache: dict[str, bytes] = {}  # of pieces that follow a space, without it
 
     @classmethod
@@ -52,24 +66,38 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _fresh(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of each piece after a space. Pieces are encoded in one text and told apart by bytes."""
-        made = {p: self._whole(" " + p) for p in pieces if not p or p[-1].isspace()}
-        inner = [p for p in pieces if p not in made]
+        """Ids of each piece after a space. Pieces are encoded in one text and told apart by bytes.
+
+        Between letters and a comma or full stop there is always a cut, so a piece that ends so
+        is its stem, where that is known, and the mark.
+        """
+        made, inner, later = {}, {}, []
+        for p in pieces:
+            if not p or p[-1].isspace():
+                made[p] = self._whole(" " + p)
+            elif p[-1] in self.marks and (stem := p[:-1]).isalpha():
+                later.append(p)
+                if stem not in self.cache:
+                    inner[stem] = None
+            else:
+                inner[p] = None
+        inner = list(inner)
         for i in range(0, len(inner), 4096):
             some = inner[i : i + 4096]
             (done,) = self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
             ids = np.array(done.ids, dtype="<u4")
             ends = np.cumsum([len(p.encode()) + 1 for p in some])
-            stops = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
-            at = 0
-            for p, stop in zip(some, stops.tolist(), strict=True):
-                made[p] = ids[at:stop].tobytes()
-                at = stop
+            stops = (4 * np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 4).tolist()
+            raw = ids.tobytes()
+            made.update(zip(some, [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+        for p in later:
+            stem = p[:-1]
+            made[p] = (made[stem] if stem in made else self.cache[stem]) + self.marks[p[-1]]
         return made
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null counts as empty."""
-        get, out, waiting = self.cache.get, [], []
+        get, out, waiting, need = self.cache.get, [], [], {}
         for text in texts:
             if not text:
                 out.append(b"")
@@ -85,15 +113,18 @@ class Encoder:
             head = self._whole(first) if first else b""
             ids = list(map(get, rest))
             if None in ids:
-                waiting.append((len(out), head, rest, ids))
+                at = _places(ids)
+                need.update(dict.fromkeys([rest[i] for i in at]))
+                waiting.append((len(out), head, rest, ids, at))
                 out.append(b"")
             else:
                 out.append(head + b"".join(ids))
         if waiting:
-            need = dict.fromkeys(p for _, _, rest, ids in waiting for p, x in zip(rest, ids, strict=True) if x is None)
             made = self._fresh(list(need))
-            for i, head, rest, ids in waiting:
-                out[i] = head + b"".join([made[p] if x is None else x for p, x in zip(rest, ids, strict=True)])
+            for k, head, rest, ids, at in waiting:
+                for i in at:
+                    ids[i] = made[rest[i]]
+                out[k] = head + b"".join(ids)
             if len(self.cache) < CACHE_PIECES:
                 self.cache.update((p, x) for p, x in made.items() if len(p) <= CACHE_CHARS)
         return out
