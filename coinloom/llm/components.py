@@ -1,12 +1,15 @@
 """Connected components by alternating large-star and small-star.
 
 Each round is two joins on grouped minima, so no task gathers a node's neighbours: minima are
-combined before the shuffle, and a hub's edges are plain join rows that adaptive execution
-splits. Rounds are written to the shared folder, which cuts lineage.
+combined before the shuffle and written, so that the join with them is a broadcast where they
+are few and otherwise a plain join of two shuffles, of which adaptive execution splits a hub's
+rows. Rounds are written to the shared folder, which cuts lineage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,16 +18,16 @@ from .common import Scratch
 ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Links every larger neighbour of u to the smallest of u and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    least = keep(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "of_large")
     return both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Links u and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = keep(edges.groupBy("u").agg(F.min("v").alias("m")), "of_small")
     inner = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return inner.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -38,9 +41,13 @@ def components(links: DataFrame, scratch: Scratch, name: str, a: str = "a", b: s
     edges, old = scratch.table(edges, f"{name}_0"), f"{name}_0"
     was = None
     for turn in range(1, ROUNDS + 1):
-        large = scratch.table(_large_star(edges), f"{name}_{turn}_large")
-        edges = scratch.table(_small_star(large), f"{name}_{turn}")
-        scratch.drop(old, f"{name}_{turn}_large")
+
+        def keep(df: DataFrame, what: str, turn: int = turn) -> DataFrame:
+            return scratch.table(df, f"{name}_{turn}_{what}")
+
+        large = keep(_large_star(edges, keep), "large")
+        edges = scratch.table(_small_star(large, keep), f"{name}_{turn}")
+        scratch.drop(old, *(f"{name}_{turn}_{what}" for what in ("large", "of_large", "of_small")))
         old = f"{name}_{turn}"
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == was or not now[0]:
