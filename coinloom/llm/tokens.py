@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -24,9 +25,24 @@ CACHE_CHARS = 48
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
 #: Before a space that follows what is not white space.
 _CUT = re.compile(r"(?<=[^ \t\n\r\x0b\x0c])(?= )")
+#: Words of Latin letters alone, which no pattern cuts: the library's model takes them as they are.
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _GAPS = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary.
+
+    Visible Latin-1 characters stand for themselves, other bytes for the characters from 256 on.
+    """
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
 def _places(ids: list) -> list[int]:
     """Where a list holds None."""
     at, i = [], -1
@@ -52,8 +68,9 @@ class Encoder:
         names = (self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size()))
         self.n_bytes = np.array([len(x) for x in names], dtype=np.int64)  # a character a byte
         self.marks = {m: self._whole(m) for m in ".,"}
-        if hasattr(self.library.model, "_resize_cache"):
-            self.library.model._resize_cache(0)  # the cache below takes its place
+        self.model = self.library.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # the cache below takes its place
         self.cache: dict[str, bytes] = {}  # of pieces that follow a space, without it
 
     @classmethod
@@ -65,20 +82,32 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of Latin letters after a space."""
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+        ids = [t.id for t in self.model.tokenize(_LETTERS[32] + letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _fresh(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of each piece after a space. Pieces are encoded in one text and told apart by bytes.
+        """Ids of each piece after a space. Words of Latin letters go to the model one by one.
 
-        Between letters and a comma or full stop there is always a cut, so a piece that ends so
+        Other pieces are encoded in one text and told apart by bytes. Between letters and a comma or full stop there is always a cut, so a piece that ends so
         is its stem, where that is known, and the mark.
         """
         made, inner, later = {}, {}, []
+        word = _WORD.fullmatch
         for p in pieces:
-            if not p or p[-1].isspace():
+            if word(p):
+                made[p] = self._word(p)
+            elif not p or p[-1].isspace():
                 made[p] = self._whole(" " + p)
             elif p[-1] in self.marks and (stem := p[:-1]).isalpha():
                 later.append(p)
-                if stem not in self.cache:
-                    inner[stem] = None
+                if stem not in self.cache and stem not in made:
+                    if word(stem):
+                        made[stem] = self._word(stem)
+                    else:
+                        inner[stem] = None
             else:
                 inner[p] = None
         inner = list(inner)

@@ -28,7 +28,7 @@ def plain(library, text) -> list[int]:
 
 
 SPACES = [" ", "  ", "\n", "\t", "\r\n", " \n ", " ", " ", "​", "\x1c", "\x85", "　"]
-PIECES = st.sampled_from([*SPACES, "the", "The", "don't", "'s", "123", "1", ".", ",", "...", "é", "日本", "😀", "a,b", "<|endoftext|>", "x_y", "-", "word,", "word.", "Q."])
+PIECES = st.sampled_from([*SPACES, "the", "The", "don't", "'s", "123", "1", ".", ",", "...", "é", "日本", "😀", "a,b", "<|endoftext|>", "x_y", "-", "word,", "word.", "Q.", "été", "çà,", "Łódź", "ﬁ", "straße", "ω"])
 
 
 @settings(max_examples=500, deadline=None)
