@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Rows per Arrow batch. Documents may be long, so batches hold few of them.
 ARROW_ROWS = 512
 #: Bytes of text that the vectorised word splitter handles at a time.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 #: Tables of ids and numbers are broadcast up to this number of rows (about 16 MB); beyond it they are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -65,6 +65,11 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns memory that Arrow keeps for reuse; a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+
+
 def held_out(doc_id: str, folds: int, fold: int):
     """Whether crc32 of the id's text leaves this remainder; a null id counts as 0."""
     crc = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))

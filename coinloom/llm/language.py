@@ -69,7 +69,10 @@ def bundle(text: str | None) -> np.ndarray | None:
     codes = (letters[:-2] * LETTERS + middle) * LETTERS + letters[2:]
     counts = np.bincount(codes[middle > 0], minlength=LETTERS**GRAM)
     seen = np.flatnonzero(counts)
-    vector = counts[seen].astype(np.float32) @ _gram_table()[seen].astype(np.float32)
+    vector = np.zeros(DIMENSIONS, np.float32)
+    for i in range(0, len(seen), 1024):  # bounds the copy of table rows
+        some = seen[i : i + 1024]
+        vector += counts[some].astype(np.float32) @ _gram_table()[some].astype(np.float32)
     norm = float(np.linalg.norm(vector))
     return vector / norm if norm else vector
 

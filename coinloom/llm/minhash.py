@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, mix64, shingle_sets
+from .common import BROADCAST_ROWS, Scratch, give_back, mix64, shingle_sets
 from .components import components
 
 SHINGLE = 2
@@ -75,6 +75,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
             names=["doc_id", "n_shingles", "digest", "signature"],
         )
+    give_back()
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import tokens
+from .common import give_back
 
 #: Options of the ORC writer: stripes of 32 MB, an index entry each 1,000 rows, ids in Bloom filters.
 ORC = {
@@ -58,6 +59,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", doc_id
             lists = pa.ListArray.from_arrays(pa.array(at), values, type=ARROW.field("ids").type)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), lists], schema=ARROW)
             row += n
+        give_back()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ranged = rows.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")

@@ -17,8 +17,8 @@ import numpy as np
 
 #: Id that ends each document.
 END_ID = 2
-#: Pieces that a Python worker remembers with their ids (about 250 MB); later ones are encoded anew.
-CACHE_PIECES = 1_000_000
+#: Pieces that a Python worker remembers with their ids (about 100 MB); later ones are encoded anew.
+CACHE_PIECES = 700_000
 #: Longer pieces are not remembered.
 CACHE_CHARS = 48
 #: White space other than the ASCII kinds, and controls that libraries judge differently.
