@@ -24,6 +24,8 @@ from pyspark.sql.window import Window
 from . import tokens
 from .common import give_back
 
+#: Pieces that a worker remembers here, where no other stage shares its memory (about 180 MB).
+CACHE_PIECES = 1_300_000
 #: Options of the ORC writer: stripes of 32 MB, an index entry each 1,000 rows, ids in Bloom filters.
 ORC = {
     "orc.bloom.filter.columns": "doc_id",
@@ -49,7 +51,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", doc_id
     """Encode every whole text, append the end id, and write the ids in ascending id order."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, row = tokens.Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, row = tokens.Encoder.of(tokenizer, CACHE_PIECES), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = [tokens.with_end(x) for x in encoder.encode(batch.column(1).to_pylist())]
             n = len(ids)

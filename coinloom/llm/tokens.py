@@ -17,7 +17,7 @@ import numpy as np
 
 #: Id that ends each document.
 END_ID = 2
-#: Pieces that a Python worker remembers with their ids (about 100 MB); later ones are encoded anew.
+#: Pieces that a Python worker remembers with their ids (about 140 MB a million); later ones are encoded anew.
 CACHE_PIECES = 700_000
 #: Longer pieces are not remembered.
 CACHE_CHARS = 48
@@ -59,7 +59,8 @@ class Encoder:
 
     _made: dict[str, Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = CACHE_PIECES):
+        self.remembered = remembered
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -74,9 +75,10 @@ class Encoder:
         self.cache: dict[str, bytes] = {}  # of pieces that follow a space, without it
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, remembered: int = CACHE_PIECES) -> Encoder:
         if path not in cls._made:
             cls._made[path] = cls(path)
+        cls._made[path].remembered = remembered
         return cls._made[path]
 
     def _whole(self, text: str) -> bytes:
@@ -154,7 +156,7 @@ class Encoder:
                 for i in at:
                     ids[i] = made[rest[i]]
                 out[k] = head + b"".join(ids)
-            if len(self.cache) < CACHE_PIECES:
+            if len(self.cache) < self.remembered:
                 self.cache.update((p, x) for p, x in made.items() if len(p) <= CACHE_CHARS)
         return out
 
