@@ -20,7 +20,7 @@ table; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, Scratch, give_back, mix64, shingle_sets
 from .components import components
 
-SHINGLE = 2
+#: Words a shingle by the contract of op8; the general rule for stages is GENERAL.
+SHINGLE, GENERAL = 2, 5
 SIMILARITY = 80  # percent
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
@@ -64,18 +65,23 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, digests, signatures = [], [], []
-        for own in shingle_sets(batch.column(1), SHINGLE):
-            n.append(len(own))
-            digests.append(hashlib.blake2b(own, digest_size=16).digest() if len(own) else None)
-            signatures.append(minima(own).tobytes() if len(own) else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
-            names=["doc_id", "n_shingles", "digest", "signature"],
-        )
-    give_back()
+def _signatures(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sizes, digests and signatures of the texts' sets of shingles of so many words."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, digests, signatures = [], [], []
+            for own in shingle_sets(batch.column(1), words):
+                n.append(len(own))
+                digests.append(hashlib.blake2b(own, digest_size=16).digest() if len(own) else None)
+                signatures.append(minima(own).tobytes() if len(own) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "signature"],
+            )
+        give_back()
+
+    return sign
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,13 +112,13 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.where(F.pandas_udf(agree, "double")("sig_a", "sig_b") >= LEAST_AGREEMENT).select("a", "b")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """Pairs whose full sets resemble each other enough."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left, right = shingle_sets(batch.column(2), SHINGLE), shingle_sets(batch.column(3), SHINGLE)
+            left, right = shingle_sets(batch.column(2), words), shingle_sets(batch.column(3), words)
             ok = [alike(x, y) for x, y in zip(left, right, strict=True)]
             out = [(p, q) for p, q, yes in zip(a, b, ok, strict=True) if yes]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], names=["a", "b"])
@@ -141,7 +147,7 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _tile(group: pd.DataFrame) -> pd.DataFrame:
+def _tile(group: pd.DataFrame, words: int) -> pd.DataFrame:
     """Links between a tile of nodes outside the largest component and a tile of all nodes.
 
     Of the links found, a spanning forest over the components is returned.
@@ -149,8 +155,8 @@ def _tile(group: pd.DataFrame) -> pd.DataFrame:
     minor, every = group[group["minor"]], group[~group["minor"]]
     if minor.empty or every.empty:
         return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    left = list(shingle_sets(pa.array(minor["text"]), SHINGLE))
-    right = list(shingle_sets(pa.array(every["text"]), SHINGLE))
+    left = list(shingle_sets(pa.array(minor["text"]), words))
+    right = list(shingle_sets(pa.array(every["text"]), words))
     both = _common(left, right).astype(np.int64)
     total = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
     link = (100 * both >= SIMILARITY * (total - both)) & (minor["component"].to_numpy()[:, None] != every["component"].to_numpy()[None, :])
@@ -172,7 +178,7 @@ def _tile(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _cross_large(open_rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def _cross_large(open_rows: DataFrame, texts: DataFrame, scratch: Scratch, words: int) -> DataFrame:
     """Links across components among the nodes of large buckets.
 
     Large buckets that overlap form one cluster, so that a node is compared once and not once
@@ -195,7 +201,7 @@ def _cross_large(open_rows: DataFrame, texts: DataFrame, scratch: Scratch) -> Da
         "cluster", "node", "component", "text", F.lit(False).alias("minor"),
         F.explode(F.sequence(F.lit(0).cast("long"), minor_tiles.cast("long") - 1)).alias("x"), F.pmod(F.xxhash64("node", F.lit(2)), tiles).alias("y"),
     )
-    return one.unionByName(other).groupBy("cluster", "x", "y").applyInPandas(_tile, "a long, b long")
+    return one.unionByName(other).groupBy("cluster", "x", "y").applyInPandas(lambda group: _tile(group, words), "a long, b long")
 
 
 def _cross_small(open_rows: DataFrame, stars: DataFrame) -> DataFrame:
@@ -207,10 +213,10 @@ def _cross_small(open_rows: DataFrame, stars: DataFrame) -> DataFrame:
     return pairs.join(stars, ["a", "b"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id and kept."""
+def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str = "doc_id", words: int = SHINGLE) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id and kept; words is the length of a shingle."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = scratch.table(rows.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, signature binary"), "signed")
+    signed = scratch.table(rows.mapInArrow(_signatures(words), "doc_id long, n_shingles long, digest binary, signature binary"), "signed")
     named = signed.where("digest is not null and doc_id is not null")
     reps = named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("signature").alias("signature"))
     reps = scratch.table(reps, "reps")
@@ -230,15 +236,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", doc_i
 
     stars = in_buckets.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     stars = scratch.table(stars, "stars")
-    first = scratch.table(_linked(_agreeing(stars, reps), texts), "first_links")
+    first = scratch.table(_linked(_agreeing(stars, reps), texts, words), "first_links")
     of_first = components(first, scratch, "first")
 
     rows_of = in_buckets.join(of_first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows_of = scratch.table(rows_of, "rows_of")
     several = rows_of.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     open_rows = scratch.table(rows_of.join(several.select("bucket"), "bucket", "left_semi"), "open_rows")
-    small = _linked(_agreeing(scratch.table(_cross_small(open_rows, stars), "cross"), reps), texts)
-    large = _cross_large(open_rows, texts, scratch)
+    small = _linked(_agreeing(scratch.table(_cross_small(open_rows, stars), "cross"), reps), texts, words)
+    large = _cross_large(open_rows, texts, scratch, words)
 
     # Rows that share an id but not a text are one vertex: their nodes are linked.
     of_id = named.select("doc_id", "digest").distinct().join(reps.select("digest", "node"), "digest").select("doc_id", "node")

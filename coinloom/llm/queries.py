@@ -53,7 +53,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(documents(spark, sf_dir), Scratch(spark))
+    return minhash.near_duplicates(documents(spark, sf_dir), Scratch(spark), words=minhash.SHINGLE)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns what it
 keeps. All but the last return the columns of documents. Stage 1 drops documents whose language
 can't be told, stage 2 those predicted bad, stage 3 all but the smallest id of each group of
-near-duplicates (and repeated rows of an id), stage 4 masks personal data in the text, and
+near-duplicates by five-word shingles at 0.8 (and repeated rows of an id), stage 4 masks personal data in the text, and
 stage 5 packs what is left into sequences of 1024 tokens.
 """
 
@@ -34,7 +34,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near-duplicates; documents without words all stay."""
     tune(spark)
     scratch = Scratch(spark)
-    found = scratch.table(minhash.near_duplicates(docs, scratch).select("doc_id", "kept"), "found")
+    found = scratch.table(minhash.near_duplicates(docs, scratch, words=minhash.GENERAL).select("doc_id", "kept"), "found")
     gone = found.where("not kept").select("doc_id").distinct()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
@@ -68,7 +68,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Model fitting, components and packing are beyond SQL; tests hold the stages against brute force.
+#: Model fitting, components and packing are beyond SQL; tests hold the near-duplicate stage against brute force.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,47 @@
+"""The near-duplicate stage of the corpus pipeline against all pairs of five-word shingle sets."""
+
+from __future__ import annotations
+
+import random
+
+import corpus_pipeline
+from tests.llm.conftest import prose
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or {tuple(words)}
+
+
+def kept(rows):
+    """All but the smallest id of each component of resemblance 0.8."""
+    sets = [shingles(t) for _, t in rows]
+    label = [i for i, _ in rows]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    return {i for (i, _), c in zip(rows, label, strict=True) if i == c}
+
+
+def test_near_duplicates_stage(spark, sf_dir):
+    rng, rows = random.Random(9), []
+    for g in range(10):
+        words = prose(300 + g, 200).split()
+        rows.append((100 * g, " ".join(words)))
+        for k in range(1, 12):
+            own = list(words)
+            for at in rng.sample(range(10, 190), k):
+                own[at] = f"edit{rng.randrange(10**6)}"
+            rows.append((100 * g + k, " ".join(own)))
+    scattered = prose(400, 200).split()
+    rows.append((5000, " ".join(scattered)))
+    rows.append((5001, " ".join(f"edit{k}" if k % 20 == 10 else w for k, w in enumerate(scattered))))
+    rows += [(6000, "one two"), (6001, "One  two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir).collect()]
+    assert sorted(got) == sorted(kept(rows)) and {5000, 5001} <= set(got) and 6001 not in got
