@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, row = tokens.Encoder.of(tokenizer), TaskContext.get().partitionId() << 40
+        encoder, row = tokens.Encoder.of(tokenizer, as_text=False), TaskContext.get().partitionId() << 40
         for batch in batches:
             out: list[list] = [[] for _ in _COLUMNS]
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):

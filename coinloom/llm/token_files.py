@@ -51,7 +51,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", doc_id
     """Encode every whole text, append the end id, and write the ids in ascending id order."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, row = tokens.Encoder.of(tokenizer, CACHE_PIECES), TaskContext.get().partitionId(), 0
+        encoder, part, row = tokens.Encoder.of(tokenizer, CACHE_PIECES, as_text=False), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = [tokens.with_end(x) for x in encoder.encode(batch.column(1).to_pylist())]
             n = len(ids)
