@@ -55,22 +55,20 @@ def _places(ids: list) -> list[int]:
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids. One per worker process, file and as_text.
+    """Encodes texts to little-endian unsigned 32-bit ids. One per worker process and file.
 
-    as_text: whether strings of the library's added tokens are ordinary text. Where they aren't,
-    as in the library's own default, texts that contain one are encoded whole.
+    Texts that contain the string of one of the library's added tokens are encoded whole.
     """
 
-    _made: dict[tuple[str, bool], Encoder] = {}
+    _made: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, remembered: int = CACHE_PIECES, as_text: bool = True):
+    def __init__(self, path: str, remembered: int = CACHE_PIECES):
         self.remembered = remembered
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = as_text
-        added = [] if as_text else [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added)) if added else None
         names = (self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size()))
         self.n_bytes = np.array([len(x) for x in names], dtype=np.int64)  # a character a byte
@@ -81,12 +79,11 @@ class Encoder:
         self.cache: dict[str, bytes] = {}  # of pieces that follow a space, without it
 
     @classmethod
-    def of(cls, path: str, remembered: int = CACHE_PIECES, as_text: bool = True) -> Encoder:
-        key = path, as_text
-        if key not in cls._made:
-            cls._made[key] = cls(path, as_text=as_text)
-        cls._made[key].remembered = remembered
-        return cls._made[key]
+    def of(cls, path: str, remembered: int = CACHE_PIECES) -> Encoder:
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        cls._made[path].remembered = remembered
+        return cls._made[path]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()

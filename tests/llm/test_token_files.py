@@ -18,9 +18,7 @@ PATH = tokens.default_path()
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def plain(library, text) -> list[int]:
