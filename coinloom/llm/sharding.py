@@ -2,11 +2,20 @@
 
 Every draw is exponential with the weight as its rate, -ln(u) / weight, where u comes from a
 hash of the document id and the place drawn for; the smallest draw wins, so a place gets its
-share of the weight. A tree grows by *grants*: a grant adds weight along one path (region,
-rack, shard). A grown place draws anew only for the weight that was added. The smaller of two
-exponential draws is an exponential draw of the summed rate, so shares stay right, and a
-document moves only where an added draw beats its old one: into the subtree that grew, and
-there along the granted path. One more shard thus takes documents only into itself.
+share of the weight. At every level a place draws with the weight of all that is below it.
+
+A tree grows by *generations*: what is added at a time, a shard or whole racks, is a tree of
+its own. A region draws once for each generation that it is part of; the draw that wins says
+region and generation, and the descent goes on among the racks, then the shards, of that
+generation. Draws that were there stay as they are, and the smaller of two exponential draws
+is an exponential draw of the summed rate. So shares stay right, and a document moves only
+where an added draw beats its old one, into the subtree that was added. One more shard takes
+documents only into itself.
+
+A weight that falls lengthens the draws on its path alone, newest generation first: documents
+leave the region, in it the rack, in it the shard, whose weights fell, and no other place gives
+any up. A weight of 0 takes a place out. Each generation costs a region one draw more;
+``renewed`` makes them one again, which moves documents.
 
 Only DataFrame functions are used. Cases: a null id draws as one fixed key; a null text has
 size 1 and the checksum of an empty text; rows of equal ids share a shard and are told apart
@@ -16,7 +25,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,27 +37,65 @@ BLOCK_ROWS = 200_000
 MOST_BLOCKS = 4096
 
 
+#: Full repeats of a row get their slots in runs of so many.
+RUN = 100_000
+
+Weights = dict[str, dict[str, dict[int, float]]]
+
+
 @dataclass(frozen=True)
 class Tree:
-    """regions[region][rack][shard] = weight of the first layer; grants come after it."""
+    """generations[k][region][rack][shard] = weight that generation k gave the shard."""
 
-    regions: dict[str, dict[str, dict[int, float]]]
-    grants: tuple[tuple[str, str, int, float], ...] = field(default=())
+    generations: tuple[Weights, ...]
+
+    @classmethod
+    def of(cls, weights: Weights) -> Tree:
+        return cls((weights,))
 
     @classmethod
     def even(cls, shards: int, racks: int = 4, regions: int = 2) -> Tree:
         """A tree of equal shards, dealt over racks and these over regions."""
-        tree: dict[str, dict[str, dict[int, float]]] = {}
+        tree: Weights = {}
         for shard in range(shards):
             rack = shard * racks // shards
             tree.setdefault(f"region{rack * regions // racks}", {}).setdefault(f"rack{rack}", {})[shard] = 1.0
-        return cls(tree)
+        return cls.of(tree)
+
+    def grow(self, added: Weights) -> Tree:
+        """The tree with a generation more: weights that are added to shards, old or new."""
+        if not all(w > 0 for racks in added.values() for shards in racks.values() for w in shards.values()):
+            raise ValueError("added weights are positive")
+        return Tree((*self.generations, added))
 
     def grant(self, region: str, rack: str, shard: int, weight: float) -> Tree:
-        """The tree with more weight for one shard, old or new."""
-        if weight <= 0:
-            raise ValueError("a grant has positive weight")
-        return Tree(self.regions, (*self.grants, (region, rack, shard, weight)))
+        return self.grow({region: {rack: {shard: weight}}})
+
+    def weight(self, region: str, rack: str, shard: int) -> float:
+        return sum(g.get(region, {}).get(rack, {}).get(shard, 0.0) for g in self.generations)
+
+    def shrink(self, region: str, rack: str, shard: int, weight: float) -> Tree:
+        """The tree with so much less weight for a shard, taken from the newest generation first."""
+        if not 0 < weight <= self.weight(region, rack, shard):
+            raise ValueError("a shard can lose no more weight than it has")
+        out: list[Weights] = []
+        for old in reversed(self.generations):
+            has = old.get(region, {}).get(rack, {}).get(shard, 0.0)
+            gone = min(has, weight)
+            weight -= gone
+            out.append({r: {k: {s: w - gone if (r, k, s) == (region, rack, shard) else w for s, w in shards.items()} for k, shards in racks.items()} for r, racks in old.items()} if gone else old)
+        return Tree(tuple(reversed(out)))
+
+    def renewed(self) -> Tree:
+        """One generation with the weights of all."""
+        sums: Weights = {}
+        for g in self.generations:
+            for region, racks in g.items():
+                for rack, shards in racks.items():
+                    for shard, w in shards.items():
+                        own = sums.setdefault(region, {}).setdefault(rack, {})
+                        own[shard] = own.get(shard, 0.0) + w
+        return Tree.of(sums)
 
 
 def _draw(key: Column, place: str, weight: float) -> Column:
@@ -67,14 +114,17 @@ def _weight(node) -> float:
 
 
 def shard_of(key: Column, tree: Tree) -> Column:
-    """The shard of a key: smallest draw among regions, then racks, then shards."""
+    """The shard of a key: smallest draw among regions of all generations, then racks, then shards."""
 
     def descend(node: dict, path: str) -> Column:
         draws, inner = [], []
         for name, child in node.items():
-            at = f"{path}/{name}"
-            draws.append((_draw(key, at, _weight(child)), F.lit(at)))
-            inner.append((at, descend(child, at) if isinstance(child, dict) else F.lit(int(name))))
+            if _weight(child) > 0:
+                at = f"{path}/{name}"
+                draws.append((_draw(key, at, _weight(child)), F.lit(at)))
+                inner.append((at, descend(child, at) if isinstance(child, dict) else F.lit(int(name))))
+        if not inner:
+            raise ValueError("a tree needs a shard with weight")
         if len(inner) == 1:
             return inner[0][1]
         won, out = _least(draws), inner[-1][1]
@@ -82,39 +132,35 @@ def shard_of(key: Column, tree: Tree) -> Column:
             out = F.when(won == at, then).otherwise(out)
         return out
 
-    base = descend(tree.regions, "")
-    if not tree.grants:
-        return base
-    # The first layer draws once for all its weight; each grant draws for what it adds.
-    draws = [(_draw(key, "layer0", _weight(tree.regions)), F.lit(-1))]
-    for i, (region, rack, shard, weight) in enumerate(tree.grants, 1):
-        draws.append((_draw(key, f"layer{i}/{region}/{rack}/{shard}", weight), F.lit(shard)))
-    won = _least(draws)
-    return F.when(won == -1, base).otherwise(won)
+    return descend({f"{k}/{region}": racks for k, g in enumerate(tree.generations) for region, racks in g.items()}, "")
 
 
 def assign(docs: DataFrame, tree: Tree, grown: Tree, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of docs: size, checksum, shard, slot in the shard, and grown_shard.
 
-    Slots are gapless from 0. A shard is ranked in blocks by hash, in id order inside a block,
-    so that no task holds a whole shard; the blocks' counts, at most shards times MOST_BLOCKS
-    rows, give each block's first slot.
+    Slots are gapless from 0. Full repeats of a row are counted before the shuffle and travel as
+    one. A shard is ranked in blocks by hash, in id order inside a block, so that no task holds a
+    whole shard; the blocks' counts, at most shards times MOST_BLOCKS rows, give each block's
+    first slot.
     """
     key = F.col("doc_id")
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-    ).withColumns({"shard": shard_of(key, tree).cast("int"), "grown_shard": shard_of(key, grown).cast("int")})
-    # Blocks by hash of the row, so that even one repeated id spreads by its texts.
+    )
     total = docs.count()
     blocks = min(MOST_BLOCKS, max(1, total // BLOCK_ROWS))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(blocks)))
-    counts = rows.groupBy("shard", "block").count()
+    own = ["doc_id", "text_crc32", "size"]
+    rows = rows.groupBy(own).agg(F.count("*").alias("repeats"))
+    rows = rows.withColumns({"shard": shard_of(key, tree).cast("int"), "grown_shard": shard_of(key, grown).cast("int"), "block": F.pmod(F.xxhash64(*own), F.lit(blocks))})
+    counts = rows.groupBy("shard", "block").agg(F.sum("repeats").alias("count"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    order = Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(order) - 1)
-    return ranked.join(F.broadcast(firsts), ["shard", "block"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("rank")).cast("long").alias("slot"), "grown_shard"
-    )
+    order = Window.partitionBy("shard", "block").orderBy(own).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.withColumn("rank", F.coalesce(F.sum("repeats").over(order), F.lit(0)))
+    placed = ranked.join(F.broadcast(firsts), ["shard", "block"]).withColumn("slot", F.col("first") + F.col("rank"))
+    # A row that repeats takes a run of slots; the runs are cut so that no array is long.
+    placed = placed.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("repeats") - 1, F.lit(RUN).cast("long"))))
+    placed = placed.withColumn("place", F.explode(F.sequence(F.col("run"), F.least(F.col("run") + RUN, F.col("repeats")) - 1)))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("slot") + F.col("place")).cast("long").alias("slot"), "grown_shard")
