@@ -1,9 +1,10 @@
 """Hyperdimensional language profiles.
 
-Every letter has a random vector of DIMENSIONS signs. A letter three-gram is the product of
-its letters' vectors, each rotated by its place (binding); a document is the sum of its
-three-grams (bundling), and a language's prototype the sum of its documents' unit vectors.
-The language of a document is that of the prototype with the largest cosine.
+Every letter of any script has a vector of DIMENSIONS random signs of its own, drawn from a hash
+of its code point. A letter three-gram is the product of its letters' vectors, each rotated by
+its place (binding); a document is the sum of its three-grams (bundling), and a language's
+prototype the sum of its documents' unit vectors. The language of a document is that of the
+prototype with the largest cosine.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; so is every text when
 nothing could be learned. Null ids pass through; rows with a null language are not learned
@@ -23,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIMENSIONS = 512
-GRAM = 3
-#: Letters: 0 for all that is not a letter, 1 to 26 for a to z, the rest shared by others.
-LETTERS = 40
+from .common import mix64
+
+DIMENSIONS, GRAM = 512, 3
+#: Symbols of the table of three-grams: all that is no letter, then a to z. Grams with other letters are bound when met.
+COMMON = 27
+GRAMS_AT_ONCE = 1024
 #: At most about so many documents are learned from, chosen by a hash of their id.
 SAMPLE = 20_000
 UNKNOWN = "und"
@@ -35,24 +38,32 @@ _SCALE = 1 << 24
 _tables: dict[str, np.ndarray] = {}
 
 
-def _letter_table() -> np.ndarray:
-    """Letter number of every code point."""
+def _is_letter() -> np.ndarray:
+    """Whether a code point is a letter."""
     if "letters" not in _tables:
-        table = np.zeros(0x110000, np.uint8)
-        for c in range(0x110000):
-            if chr(c).isalpha():
-                table[c] = c - 96 if 97 <= c <= 122 else 27 + c % (LETTERS - 27)
-        _tables["letters"] = table
+        _tables["letters"] = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
     return _tables["letters"]
 
 
+def signs_of(points: np.ndarray) -> np.ndarray:
+    """A row of DIMENSIONS signs for each code point; 0 stands for all that is no letter."""
+    lanes = np.arange(1, DIMENSIONS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    words = mix64(mix64(points.astype(np.uint64)[:, None] + np.uint64(1)) + lanes[None, :])
+    bits = np.unpackbits(words.view(np.uint8), axis=1)
+    return bits.astype(np.int8) * 2 - 1
+
+
+def bind(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """The vectors of three-grams, from rows of their letters' signs."""
+    return np.roll(first, 2, axis=1) * np.roll(second, 1, axis=1) * third
+
+
 def _gram_table() -> np.ndarray:
-    """The bound vector of every three-gram."""
+    """The bound vector of every three-gram of common symbols."""
     if "grams" not in _tables:
-        signs = np.random.default_rng(31).integers(0, 2, (LETTERS, DIMENSIONS)).astype(np.int8) * 2 - 1
-        first, second = np.roll(signs, 2, axis=1), np.roll(signs, 1, axis=1)
-        pairs = first[:, None, :] * second[None, :, :]
-        _tables["grams"] = (pairs[:, :, None, :] * signs[None, None, :, :]).reshape(LETTERS**GRAM, DIMENSIONS)
+        signs = signs_of(np.array([0, *range(97, 123)]))
+        a, b, c = (x.ravel() for x in np.indices((COMMON,) * GRAM))
+        _tables["grams"] = bind(signs[a], signs[b], signs[c])
     return _tables["grams"]
 
 
@@ -60,19 +71,30 @@ def bundle(text: str | None) -> np.ndarray | None:
     """The unit vector of a text; None if it has no letter."""
     if not text:
         return None
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letters = _letter_table()[points]
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    letters = np.where(_is_letter()[points], points, 0)
     if not letters.any():
         return None
-    letters = np.concatenate(([0], letters, [0])).astype(np.int32)
-    middle = letters[1:-1]
-    codes = (letters[:-2] * LETTERS + middle) * LETTERS + letters[2:]
-    counts = np.bincount(codes[middle > 0], minlength=LETTERS**GRAM)
-    seen = np.flatnonzero(counts)
+    letters = np.concatenate(([0], letters, [0]))
+    common = np.where(letters == 0, 0, letters - 96)
+    common[(common < 0) | (common >= COMMON)] = -1
+    x, y, z = (letters[k : len(letters) - 2 + k] for k in range(3))
+    i, j, k = (common[n : len(common) - 2 + n] for n in range(3))
+    held = y > 0
+    plain = held & (i >= 0) & (j >= 0) & (k >= 0)
     vector = np.zeros(DIMENSIONS, np.float32)
-    for i in range(0, len(seen), 1024):  # bounds the copy of table rows
-        some = seen[i : i + 1024]
+    counts = np.bincount((i[plain] * COMMON + j[plain]) * COMMON + k[plain], minlength=COMMON**GRAM)
+    seen = np.flatnonzero(counts)
+    for n in range(0, len(seen), GRAMS_AT_ONCE):  # bounds the copy of table rows
+        some = seen[n : n + GRAMS_AT_ONCE]
         vector += counts[some].astype(np.float32) @ _gram_table()[some].astype(np.float32)
+    rare = held & ~plain
+    if rare.any():
+        grams, counts = np.unique((x[rare] << 42) | (y[rare] << 21) | z[rare], return_counts=True)
+        for n in range(0, len(grams), GRAMS_AT_ONCE):
+            some = grams[n : n + GRAMS_AT_ONCE]
+            bound = bind(*(signs_of((some >> shift) & 0x1FFFFF) for shift in (42, 21, 0)))
+            vector += counts[n : n + GRAMS_AT_ONCE].astype(np.float32) @ bound.astype(np.float32)
     norm = float(np.linalg.norm(vector))
     return vector / norm if norm else vector
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 
@@ -33,9 +35,40 @@ def test_learning_does_not_depend_on_the_order_of_rows(tables):
 
 
 def test_binding_is_the_product_of_rotated_letters():
-    signs = np.random.default_rng(31).integers(0, 2, (language.LETTERS, language.DIMENSIONS)).astype(np.int8) * 2 - 1
-    vector = sum(np.roll(signs[x], 2) * np.roll(signs[y], 1) * signs[z] for x, y, z in ((0, 1, 2), (1, 2, 0)))
-    assert np.allclose(language.bundle("ab"), vector / np.linalg.norm(vector))
+    def sign(c):
+        return language.signs_of(np.array([ord(c) if c else 0]))[0].astype(int)
+
+    for text in ("ab", "été", "привет", "日本", "aé"):
+        letters = ["", *text, ""]
+        vector = sum(np.roll(sign(x), 2) * np.roll(sign(y), 1) * sign(z) for x, y, z in zip(letters, letters[1:], letters[2:], strict=False))
+        assert np.allclose(language.bundle(text), vector / np.linalg.norm(vector), atol=1e-5), text
+    assert np.allclose(language.bundle("Ab, ab"), language.bundle("ab--ab"))
+
+
+def test_every_letter_has_a_vector_of_its_own():
+    signs = language.signs_of(np.arange(0x400, 0x500)).astype(int)
+    near = np.abs(signs @ signs.T) - language.DIMENSIONS * np.eye(len(signs), dtype=int)
+    assert near.max() < 0.3 * language.DIMENSIONS
+
+
+def test_languages_of_one_script_that_is_not_latin(spark):
+    """Two invented languages over the same Cyrillic letters, and two over Greek ones, with other pairs of letters in use."""
+    rng, rows = random.Random(8), []
+    for lang, letters, seed in (("c1", "абвгдежзик", 1), ("c2", "абвгдежзик", 2), ("g1", "αβγδεζηθικ", 3), ("g2", "αβγδεζηθικ", 4)):
+        own = random.Random(seed)
+        then = {x: own.sample(letters, 3) for x in letters}
+        for _ in range(60):
+            words = []
+            for _ in range(40):
+                word = rng.choice(letters)
+                while len(word) < rng.randrange(3, 8):
+                    word += rng.choice(then[word[-1]])
+                words.append(word)
+            rows.append((len(rows), lang, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    profiles = language.learn(docs.where("doc_id % 2 = 0"))
+    out = language.predict(docs.where("doc_id % 2 = 1"), profiles, "text", "lang").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in out]) > 0.97
 
 
 def test_edges(spark, edge_docs, no_docs, tables):
