@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows per Arrow batch. Documents may be long, so batches hold few of them.
 ARROW_ROWS = 512
+#: Bytes of an Arrow batch, about: a batch is sent when either bound is met.
+ARROW_BYTES = 32 << 20
 #: Bytes of text that the vectorised word splitter handles at a time.
 BLOCK_BYTES = 1 << 19
 #: Tables of ids and numbers are broadcast up to this number of rows (about 16 MB); beyond it they are shuffled.
@@ -20,6 +23,7 @@ BROADCAST_ROWS = 1_000_000
 def tune(spark: SparkSession) -> None:
     """Bound the memory of Arrow batches for tables with long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -35,13 +39,16 @@ class Scratch:
     """Written tables in the shared folder that ``spark.checkpoint.dir`` names.
 
     A written table cuts lineage and survives the loss of an executor. Where the
-    session names no folder (as in tests) a temporary one is set.
+    session names no folder, a local session (as in tests) sets a temporary one; a
+    cluster must name a folder that all its machines share.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             base = f"file://{tempfile.mkdtemp(prefix='coinloom-')}"
@@ -95,6 +102,8 @@ _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64)[_LOWER]
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _BASE_INV = np.uint64(pow(0x5851F42D4C957F2D, -1, 2**64))
 _POWERS: dict[str, np.ndarray] = {}
+#: Longer words, in bytes, are hashed one by one: modulo 2**64 any polynomial takes some long words for each other.
+POLYNOMIAL_BYTES = 64
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +132,8 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """64-bit hashes of all words of all texts, and each text's n + 1 word offsets.
 
     Words are runs of bytes other than space and \\x09-\\x0D, with A-Z lower-cased. The
-    hash is a polynomial in random byte values, taken from prefix sums for all words at once.
+    hash is a polynomial in random byte values, taken from prefix sums for all words at once;
+    words longer than POLYNOMIAL_BYTES get a cryptographic digest in its place.
     """
     n = len(raw)
     if n == 0:
@@ -139,6 +149,8 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTE[raw] * up, out=sums[1:])
     words = mix64((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+    for i in np.flatnonzero(last - first > POLYNOMIAL_BYTES).tolist():
+        words[i] = int.from_bytes(hashlib.blake2b(_LOWER[raw[first[i] : last[i]]], digest_size=8).digest(), "little")
     return words, np.searchsorted(first, at)
 
 

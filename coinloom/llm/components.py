@@ -9,14 +9,13 @@ rows. Rounds are written to the shared folder, which cuts lineage.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-ROUNDS = 60
-
 
 def _large_star(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Links every larger neighbour of u to the smallest of u and its neighbours."""
@@ -35,12 +34,13 @@ def _small_star(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -
 def components(links: DataFrame, scratch: Scratch, name: str, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that is not its component's smallest.
 
-    links: pairs of ids in either order; repeated pairs and loops do no harm.
+    links: pairs of ids in either order; repeated pairs and loops do no harm. Rounds go on until
+    one changes nothing, which takes about the square of the logarithm of the longest chain.
     """
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges, old = scratch.table(edges, f"{name}_0"), f"{name}_0"
     was = None
-    for turn in range(1, ROUNDS + 1):
+    for turn in count(1):
 
         def keep(df: DataFrame, what: str, turn: int = turn) -> DataFrame:
             return scratch.table(df, f"{name}_{turn}_{what}")
@@ -53,6 +53,4 @@ def components(links: DataFrame, scratch: Scratch, name: str, a: str = "a", b: s
         if now == was or not now[0]:
             break
         was = now
-    else:
-        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, Scratch, give_back, mix64, shingle_sets
@@ -38,9 +38,9 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Signatures that agree on a smaller share are not verified: 5.7 standard deviations below 0.8.
 LEAST_AGREEMENT = 0.62
-#: Buckets up to this size are compared pair by pair, larger ones in tiles of TILE nodes.
+#: Buckets up to this size are compared pair by pair, larger ones in tiles of about TILE nodes and TILE_BYTES of text at most.
 SMALL_BUCKET = 16
-TILE = 512
+TILE, TILE_BYTES = 512, 16 << 20
 
 _rng = np.random.default_rng(77)
 _MULTIPLY = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -188,11 +188,18 @@ def _cross_large(open_rows: DataFrame, texts: DataFrame, scratch: Scratch, words
     chained = components(large.select(F.col("node").alias("a"), F.col("center").alias("b")), scratch, "clusters")
     rows = large.select("node", "component").distinct().join(chained.withColumnRenamed("component", "cluster"), "node", "left")
     rows = scratch.table(rows.withColumn("cluster", F.coalesce("cluster", "node")), "cluster_rows")
-    parts = rows.groupBy("cluster", "component").count()
-    of = parts.groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
-    of = of.where("n > most")
-    rows = rows.join(of, "cluster").join(texts, "node")
-    tiles, minor_tiles = F.ceil(F.col("n") / TILE).cast("int"), F.ceil((F.col("n") - F.col("most")) / TILE).cast("int")
+    sizes = texts.groupBy("node").agg(F.sum("bytes").alias("bytes"))
+    parts = rows.join(sizes, "node").groupBy("cluster", "component").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes"))
+    main = F.max_by(F.struct("component", "count", "bytes"), F.struct("count", "component"))
+    of = parts.groupBy("cluster").agg(main.alias("main"), F.sum("count").alias("n"), F.sum("bytes").alias("bytes")).where("n > main.count")
+
+    def of_size(n: Column, size: Column) -> Column:
+        return F.ceil(F.greatest(n / TILE, size / TILE_BYTES)).cast("int")
+
+    tiles, minor_tiles = of_size(F.col("n"), F.col("bytes")), of_size(F.col("n") - F.col("main.count"), F.col("bytes") - F.col("main.bytes"))
+    of = of.select("cluster", F.col("main.component").alias("main"), tiles.alias("tiles"), minor_tiles.alias("minor_tiles"))
+    rows = rows.join(of, "cluster").join(texts.drop("bytes"), "node")
+    tiles, minor_tiles = F.col("tiles"), F.col("minor_tiles")
     one = rows.where(F.col("component") != F.col("main")).select(
         "cluster", "node", "component", "text", F.lit(True).alias("minor"),
         F.pmod(F.xxhash64("node", F.lit(1)), minor_tiles).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), tiles.cast("long") - 1)).alias("y"),
@@ -231,8 +238,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", doc_i
     nodes = scratch.table(nodes, "nodes")
     if nodes.count() <= BROADCAST_ROWS:
         nodes = F.broadcast(nodes)
-    texts = rows.join(nodes, "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
-    texts = scratch.table(texts, "texts")
+    texts = rows.join(nodes, "doc_id", "left_semi")
+    # One text of each id and content: repeated rows are not held against each other again and again.
+    repeated = scratch.table(named.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        again = texts.join(repeated, "doc_id", "left_semi").distinct()
+        texts = texts.join(repeated, "doc_id", "left_anti").unionByName(again)
+    texts = scratch.table(texts.select(F.col("doc_id").alias("node"), "text", F.octet_length("text").alias("bytes")), "texts")
 
     stars = in_buckets.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     stars = scratch.table(stars, "stars")

@@ -87,6 +87,29 @@ def test_large_buckets_in_several_tiles(spark, scratch, monkeypatch):
     check(spark, planted(), scratch)
 
 
+def test_tiles_by_bytes(spark, scratch, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 4)
+    monkeypatch.setattr(minhash, "TILE_BYTES", 20_000)
+    check(spark, planted(), scratch)
+
+
+def test_many_repeats_of_an_id(spark, scratch):
+    """Repeated rows of two near ids, and an id with several texts."""
+    near = prose(40, 100)
+    rows = [(1, near)] * 300 + [(2, near + " tail")] * 300 + [(3, near + " other"), (3, prose(41, 30)), (4, prose(41, 30) + " end"), (5, "")]
+    check(spark, rows, scratch)
+
+
+def test_long_words_are_told_apart(spark, scratch):
+    """Words that every polynomial modulo 2**64 takes for each other share no shingle."""
+    one = "a"
+    while len(one) < 2048:
+        one += one.translate({97: "b", 98: "a"})
+    other = one.translate({97: "b", 98: "a"})
+    rows = [(1, one), (2, other), (3, f"x {one} y"), (4, f"x {other} y"), (5, one.upper()), (6, one + "z"), (7, "a" * 64), (8, "a" * 65)]
+    check(spark, rows, scratch)
+
+
 def test_chain_of_links(spark, scratch):
     """Each document is near to the next alone; the chain is one component."""
     words = prose(33, 400).split()
