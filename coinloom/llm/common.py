@@ -77,6 +77,13 @@ def give_back() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: str, folds: int, fold: int):
     """Whether crc32 of the id's text leaves this remainder; a null id counts as 0."""
     crc = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))

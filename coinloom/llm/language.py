@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, spare
 
 DIMENSIONS, GRAM = 512, 3
 #: Symbols of the table of three-grams: all that is no letter, then a to z. Grams with other letters are bound when met.
@@ -160,5 +160,5 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", *keep: str)
 
 def keep_known(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """The rows of docs whose language can be told: not those without any letter."""
-    mark = "_predicted_language"
+    mark = spare(docs, "_predicted_language")
     return docs.withColumn(mark, prediction(profiles, text)["lang_pred"]).where(F.col(mark) != UNKNOWN).drop(mark)

@@ -7,8 +7,9 @@ left is compiled into one Spark column expression over the statistics.
 
 Cases: a null text counts as empty; an empty text has all statistics 0 and is scored by the
 rules like any other. Rows without a label, or with a null one, are not learned from; of
-several labels for one id the largest counts. With no labels, or one kind only, every score is
-the share of label 1, or 0.5. Null ids pass through; repeated rows give repeated rows; an empty
+several labels for one id the largest counts, and of several texts for one id the one with the
+smallest statistics. With no labels, one kind only, or no statistic that tells them apart, every
+score is the share of label 1, or 0.5. Null ids pass through; repeated rows give repeated rows; an empty
 table gives an empty table; other columns are ignored by ``score`` and kept by ``keep_good``.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, text_blocks, word_hashes
+from .common import BROADCAST_ROWS, spare, text_blocks, word_hashes
 
 #: Labelled rows that are learned from, at most about.
 SAMPLE = 20_000
@@ -169,6 +170,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> RuleEnsemble:
         if 0 < mark.sum() < len(y):
             seen.setdefault(np.packbits(mark if mark[0] else ~mark).tobytes(), rule)
     kept = list(seen.values())
+    if not kept:  # too few rows to split, or rows that no statistic tells apart
+        return RuleEnsemble((), (), float(np.log(share / (1 - share))))
     z = np.stack([_holds(r, x) for r in kept], axis=1).astype(np.float64)
     mean, scale = z.mean(axis=0), z.std(axis=0)
     z = (z - mean) / scale
@@ -202,7 +205,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     if sample <= BROADCAST_ROWS:  # about sample rows of two numbers
         marks = F.broadcast(marks)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(marks, "doc_id")
-    table = rows.select("doc_id", "y", statistics("text").alias("s")).select("doc_id", "y", "s.*").toPandas()
+    rows = rows.select("doc_id", "y", statistics("text").alias("s")).groupBy("doc_id").agg(F.max("y").alias("y"), F.min("s").alias("s"))
+    table = rows.select("doc_id", "y", "s.*").toPandas()  # a row an id of the sample
     table = table.sort_values(["doc_id", *STATISTICS], ignore_index=True)
     return fit(table[list(STATISTICS)].to_numpy(np.float64), (table["y"].to_numpy(np.float64) > 0).astype(np.float64))
 
@@ -216,6 +220,6 @@ def score(docs: DataFrame, model: RuleEnsemble, text: str = "text", *keep: str)
 
 def keep_good(docs: DataFrame, model: RuleEnsemble, text: str = "text") -> DataFrame:
     """The rows of docs that are predicted good."""
-    mark = "_quality_statistics"
+    mark = spare(docs, "_quality_statistics")
     rows = docs.withColumn(mark, statistics(text))
     return rows.where(model.column(F.col(mark)) >= THRESHOLD).drop(mark)

@@ -17,6 +17,9 @@ Each chunk is then segmented alone between its two states.
 The matrix is cheap because pieces cannot cross two characters that no piece has side by side:
 all that matters is the text from the boundary to the first such place.
 
+Models are byte-pair models whose normaliser leaves characters as they are, with a space before
+the text and spaces marked; others are refused, since chunks couldn't be normalised alone.
+
 Cases: a null text counts as empty and has no ids; null ids and repeated rows pass through; an
 empty table gives an empty table; other columns are ignored. A text with the piece marker
 U+2581 decodes with spaces in its place, as with the library.
@@ -26,7 +29,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,6 +44,8 @@ from .common import Scratch
 GIANT, CHUNK = 32_768, 16_384
 #: Chunks whose matrices one task multiplies.
 BLOCK = 128
+#: Answers about pairs and pieces that a worker remembers.
+REMEMBERED = 1 << 17
 SPACE = "▁"
 NEVER = float("-inf")
 
@@ -58,6 +63,9 @@ class Model:
         spec = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             spec.ParseFromString(f.read())
+        rules = spec.normalizer_spec
+        if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not (rules.add_dummy_prefix and rules.escape_whitespaces) or spec.trainer_spec.model_type != spec.trainer_spec.BPE:
+            raise ValueError("giant texts need a byte-pair model that leaves characters as they are and marks spaces")
         spec.normalizer_spec.add_dummy_prefix = False
         self.inner = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
         n = self.library.get_piece_size()
@@ -65,8 +73,8 @@ class Model:
         self.score = {self.library.id_to_piece(i): self.library.get_score(i) for i in normal}
         self.longest = max(map(len, self.score))
         self.neighbours = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
-        self.fit = cache(self._fit)
-        self.final = cache(lambda piece: self._merge(piece) == [piece])
+        self.fit = lru_cache(REMEMBERED)(self._fit)
+        self.final = lru_cache(REMEMBERED)(lambda piece: self._merge(piece) == [piece])
 
     @classmethod
     def of(cls, path: str) -> Model:

@@ -58,3 +58,13 @@ def test_edges(spark, edge_docs, no_docs, model):
     assert quality.keep_good(edge_docs, model).columns == edge_docs.columns
     labels = spark.createDataFrame([(4, None), (None, 1)], "doc_id long, quality int")
     assert quality.learn(edge_docs, labels).rules == ()
+
+
+def test_labels_that_nothing_tells_apart(spark):
+    """Too few rows to split, equal texts, and a labelled id whose row repeats."""
+    few = spark.createDataFrame([(k, f"word{k} " * (k + 3)) for k in range(8)], "doc_id long, text string")
+    same = spark.createDataFrame([(k, "the same text") for k in range(60)] + [(1, "the same text")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 4 == 0) for k in range(60)], "doc_id long, good boolean").selectExpr("doc_id", "cast(good as int) AS quality")
+    for docs, share in ((few, 0.25), (same, 0.25)):
+        model = quality.learn(docs, labels)
+        assert model.rules == () and abs(1 / (1 + np.exp(-model.intercept)) - share) < 1e-6
