@@ -12,12 +12,12 @@ CHANNEL_PREFIX = r"POS\s|UPI[-/]|NEFT/|IMPS/|ACH/|BIL/|RTGS/|INT\.PD\./|TO TRANS
 SEPARATORS = "-/\\|*:;,#_%()[]\"'"
 #: Words that name a channel, an instrument or the scaffold of a narration.
 STOP_WORDS = (
-    "upi pos neft neftcr neftdr imps rtgs ach nach ecs ecm eft ift bil bbps atm "
-    "tfr trf transfer transaction txn chq cheque inf mps ib imb onl online www net mobile "
-    "ref refno rrn no dr cr cc card credit debit emi fee fees charge charges gst int "
-    "payment payments pymt pmt paid recd received recvd autopay bpay purchase withdrawal cash "
-    "thank you to by in ind at on for from via and the of"
-).split()
+    "upi", "pos", "neft", "neftcr", "neftdr", "imps", "rtgs", "ach", "nach", "ecs", "ecm", "eft", "ift", "bil", "bbps", "atm",
+    "tfr", "trf", "transfer", "transaction", "txn", "chq", "cheque", "inf", "mps", "ib", "imb", "onl", "online", "www", "net", "mobile",
+    "ref", "refno", "rrn", "no", "dr", "cr", "cc", "card", "credit", "debit", "emi", "fee", "fees", "charge", "charges", "gst", "int",
+    "payment", "payments", "pymt", "pmt", "paid", "recd", "received", "recvd", "autopay", "bpay", "purchase", "withdrawal", "cash",
+    "thank", "you", "to", "by", "in", "ind", "at", "on", "for", "from", "via", "and", "the", "of",
+)
 PREFIX_CHARS = 60
 MAX_SEGMENTS, REFERENCE_DIGITS = 2, 4
 
@@ -68,16 +68,19 @@ def merchant_portion(text: Column) -> Column:
     return F.transform(F.array(useful), lambda u: F.when(F.size(u) > 0, F.array_join(F.slice(u, 1, MAX_SEGMENTS), " ")))[0]
 
 
-def _tokens(text: Column) -> Column:
+def tokens(text: Column) -> Column:
+    """The distinct words of a text, lower case."""
     return F.array_distinct(F.filter(F.split(F.lower(text), _SPACE), lambda t: t != ""))
 
 
+def token_similarity(a: Column, b: Column) -> Column:
+    """Shared tokens over all tokens of two token sets; 0 if either has none."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+
+
 def narration_similarity(a: Column, b: Column) -> Column:
-    """Shared tokens over all tokens; 0 if either side has none."""
-    both = F.size(F.array_intersect(_tokens(a), _tokens(b)))
-    either = F.size(F.array_union(_tokens(a), _tokens(b)))
-    none = (F.size(_tokens(a)) == 0) | (F.size(_tokens(b)) == 0)
-    return F.when(none, F.lit(0.0)).otherwise(both / either)
+    return token_similarity(tokens(a), tokens(b))
 
 
 def jaro_winkler_of(a: str, b: str) -> float:
@@ -111,6 +114,18 @@ def jaro_winkler_of(a: str, b: str) -> float:
     return jaro + same * 0.1 * (1.0 - jaro)
 
 
+def may_be_alike(a: Column, b: Column, least: float) -> Column:
+    """False only where jaro_winkler(a, b) is below least, by lengths and first characters alone.
+
+    With all of the shorter text found in the longer one, Jaro is (2 + shorter / longer) / 3; four
+    equal first characters add 0.4 of what is missing, none add nothing.
+    """
+    ratio = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    bonus = F.when(F.left(a, F.lit(1)) == F.left(b, F.lit(1)), F.lit(0.4)).otherwise(F.lit(0.0))
+    jaro = (F.lit(2.0) + ratio) / 3
+    return (a == b) | (jaro + bonus * (1 - jaro) >= least - 1e-9)
+
+
 def jaro_winkler(a: Column, b: Column) -> Column:
     """The similarity of two texts; Spark has no built-in for it, so pairs go in Arrow batches."""
 

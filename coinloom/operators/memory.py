@@ -36,17 +36,17 @@ def set_transaction_category(transactions: DataFrame, memory: DataFrame, transac
 
 def affected(transactions: DataFrame, memory: DataFrame, portion: str) -> DataFrame:
     """Live rows of the portion, but those decided by hand or already by this memory."""
-    known = memory.where(F.col("merchant_portion") == portion).select(F.col("category_id").alias("remembered"))
-    rows = transactions.where(live() & not_by_hand() & (merchant_portion(F.col("description_raw")) == portion))
-    rows = rows.crossJoin(F.broadcast(known.limit(1)))  # the memory of one portion is one row
+    known = memory.where(F.col("merchant_portion") == portion).agg(F.max("category_id")).first()[0]  # a portion is a key of memory
+    rows = transactions.where(live() & not_by_hand() & (merchant_portion(F.col("description_raw")) == portion) & F.lit(known is not None))
+    rows = rows.withColumn("remembered", F.lit(known).cast("string"))
     return rows.where(~(F.col("categorised_by").eqNullSafe(F.lit(PERSON_MEMORY)) & F.col("category_id").eqNullSafe(F.col("remembered"))))
 
 
 def preview(transactions: DataFrame, memory: DataFrame, accounts: DataFrame, portion: str) -> DataFrame:
-    """How many rows of each account a memory would change; changes nothing."""
+    """How many rows of each account a memory would change, by name and then id; changes nothing."""
     of = accounts.select(F.col("id").alias("account_id"), "name")
     counts = affected(transactions, memory, portion).groupBy("account_id").agg(F.count("*").alias("n"))
-    return counts.join(of, "account_id").select("account_id", F.col("name").alias("display_name"), "n")
+    return counts.join(of, "account_id").select("account_id", F.col("name").alias("display_name"), "n").orderBy("display_name", "account_id")
 
 
 def apply_memory(transactions: DataFrame, memory: DataFrame, portion: str, expected: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def import_statement(store: Store, request: Request, keep: Keep) -> Outcome:
         F.lit(None).cast("string").alias("superseded_by"), F.lit(None).cast("string").alias("dedup_layer"), F.lit(statement_id).alias("statement_id"),
     )
     every = keep(transactions.unionByName(new_rows), "every")
-    again = keep(reimported_rows(every, statement_id, lambda d, n: keep(d, f"again_{n}")), "again")
+    again = keep(reimported_rows(every, statement.select(F.col("id").alias("statement_id")), lambda d, n: keep(d, f"again_{n}")), "again")
     every = link(every, again)
     own = F.col("account_id") == account_id
     decided = categorize_stored(every.where(own), accounts, store.table("merchant_map"), store.table("rules"), store.table("source_category_map"), store.table("merchant_memory"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 MONEY = "decimal(38,10)"
 DEBIT, CREDIT = "Debit", "Credit"
-PERSON, PERSON_MEMORY = "PERSON", "PERSON_MEMORY"
+PERSON, PERSON_MEMORY, TRANSFER_DETECTOR = "PERSON", "PERSON_MEMORY", "TRANSFER_DETECTOR"
+BILL_PAYMENT, SELF_TRANSFER = "CREDIT_CARD_BILL_PAYMENT", "SELF_TRANSFER"
 STAGES = ("CC_RULE", "T1_SOURCE_CATEGORY", "T2_MERCHANT_MAP", "T3_RULE")
 CANONICAL, FUZZY = "CANONICAL", "FUZZY"
 GAP, PARTIAL, COVERED = "GAP", "PARTIAL", "COVERED"
