@@ -37,27 +37,53 @@ def _case(by: str, values) -> str:
     return f"CASE {by} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
 
 
-_DAY = "o_orderkey % 700"
-_MONTH = f"cast(floor(({_DAY}) / 30) as int)"
-_STATEMENT = f"concat('s', cast(o_custkey % 200 as string), '-', cast({_MONTH} as string))"
-#: Column: expression over orders, in SQL that both engines read.
+#: Orders that give further transactions, by the number of the copy: an echo on an account of the
+#: other kind, a second echo, and the other leg of a transfer.
+_COPIES = {1: "o_orderkey % 6 = 0", 2: "o_orderkey % 60 = 0", 3: "o_orderkey % 10 = 7"}
+_BASE = {
+    "m": "o_orderkey * 4 + copy",
+    "acct": (
+        "CASE copy WHEN 1 THEN CASE WHEN o_custkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey - o_custkey % 3 END "
+        "WHEN 2 THEN CASE WHEN o_custkey % 3 = 0 THEN o_custkey + 2 WHEN o_custkey >= 3 THEN o_custkey - o_custkey % 3 - 3 ELSE 0 END "
+        "WHEN 3 THEN CASE WHEN o_custkey % 2 = 0 THEN o_custkey + 1 ELSE o_custkey - 1 END ELSE o_custkey END"
+    ),
+    #: Echoes come on the day, a day later or two; so do transfer legs.
+    "day": (
+        "cast(o_orderkey % 700 + CASE copy WHEN 1 THEN CASE o_orderkey % 30 WHEN 6 THEN 1 WHEN 18 THEN 2 ELSE 0 END "
+        "WHEN 3 THEN CASE o_orderkey % 30 WHEN 17 THEN 1 WHEN 27 THEN 2 ELSE 0 END ELSE 0 END as int)"
+    ),
+    #: Each 25th order has one of few equal amounts and wordings, so that many rows compete.
+    "cents": (
+        "CASE WHEN o_orderkey % 25 = 0 THEN 9900 ELSE cast(round(o_totalprice * 100) as bigint) % 3000000 END "
+        "+ CASE WHEN copy = 3 THEN CASE o_orderkey % 40 WHEN 17 THEN 50 WHEN 27 THEN 100 WHEN 37 THEN 101 ELSE 0 END ELSE 0 END"
+    ),
+    "shop": (
+        f"concat(CASE WHEN o_orderkey % 25 = 0 THEN 'UPI-CITY METRO' ELSE concat({_case('cast(o_orderkey % 8 as int)', _CHANNELS)}, {_case('cast(o_custkey % 11 as int)', _MERCHANTS)}) END, "
+        "CASE WHEN o_orderkey % 5 = 0 THEN concat('  RRN', cast(o_orderkey as string)) WHEN o_orderkey % 5 = 1 THEN ' 123456789012' ELSE '' END)"
+    ),
+}
+_MONTH = "cast(floor(day / 30) as int)"
+_STATEMENT = f"concat('s', cast(acct as string), '-', cast({_MONTH} as string))"
+#: Column: expression over orders with the columns above, in SQL that both engines read.
 TXN = {
-    "id": "concat('t', lpad(cast(o_orderkey as string), 9, '0'))",
-    "txn_seq": "o_orderkey + 1",
-    "account_id": "concat('a', cast(o_custkey % 200 as string))",
-    "date": f"DATE '2024-01-01' + cast({_DAY} as int)",
-    "amount": "cast(cast(cast(round(o_totalprice * 100) as bigint) % 3000 as decimal(18, 2)) / 100 as decimal(18, 2))",
-    "direction": "CASE WHEN o_orderstatus = 'O' THEN 'Credit' ELSE 'Debit' END",
+    "id": "concat('t', lpad(cast(m as string), 11, '0'))",
+    "txn_seq": "m + 1",
+    "account_id": "concat('a', cast(acct as string))",
+    "date": "DATE '2024-01-01' + day",
+    "amount": "cast(cast(cents as decimal(18, 2)) / 100 as decimal(18, 2))",
+    "direction": "CASE WHEN (o_orderstatus = 'O') = (copy <> 3) THEN 'Credit' ELSE 'Debit' END",
     "description_raw": (
-        f"concat({_case('cast(o_orderkey % 8 as int)', _CHANNELS)}, {_case('cast(o_custkey % 11 as int)', _MERCHANTS)}, "
-        "CASE WHEN o_orderkey % 5 = 0 THEN concat('  RRN', cast(o_orderkey as string)) WHEN o_orderkey % 5 = 1 THEN ' 123456789012' ELSE '' END)"
+        "CASE WHEN copy = 1 AND o_orderkey % 30 = 12 THEN concat(shop, ' INDIA') WHEN copy = 1 AND o_orderkey % 30 = 24 THEN 'NOTHING LIKE IT' "
+        "WHEN copy = 3 AND o_orderkey % 20 = 7 THEN 'OWN ACCOUNT' ELSE shop END"
     ),
     "currency": "'INR'",
-    "category_id": "CASE WHEN o_orderkey % 9 = 0 THEN 'GROCERIES' END",
-    "categorised_by": "CASE WHEN o_orderkey % 18 = 0 THEN 'PERSON' WHEN o_orderkey % 9 = 0 THEN 'T3_RULE' END",
-    "is_deleted": "o_orderkey % 11 = 0",
-    "superseded_by": "CASE WHEN o_orderkey % 13 = 0 THEN 'other' END",
-    "source_category": "CASE WHEN o_orderkey % 7 = 0 THEN 'FOOD' END",
+    "category_id": "CASE WHEN m % 9 = 0 THEN 'GROCERIES' END",
+    "categorised_by": "CASE WHEN m % 36 = 0 THEN 'PERSON' WHEN m % 36 = 18 THEN 'PERSON_MEMORY' WHEN m % 9 = 0 THEN 'T3_RULE' END",
+    "is_deleted": "m % 11 = 0",
+    "superseded_by": "CASE WHEN m % 13 = 0 THEN 'other' END",
+    "source_category": "CASE WHEN m % 7 = 0 THEN 'FOOD' END",
+    "is_transfer": "m % 17 = 0",
+    "transfer_group_id": "CASE WHEN m % 17 = 0 THEN 'known' END",
     "statement_id": f"CASE WHEN o_orderkey % 4 <> 0 THEN {_STATEMENT} END",
 }
 ACCOUNT = {
@@ -70,7 +96,7 @@ ACCOUNT = {
 }
 STATEMENT_OF = {
     "id": _STATEMENT,
-    "account_id": "concat('a', cast(o_custkey % 200 as string))",
+    "account_id": "concat('a', cast(acct as string))",
     "period_end": f"DATE '2024-01-01' + cast({_MONTH} * 30 + 29 as int)",
     "needs_review": f"{_MONTH} % 5 = 0",
     "source": f"CASE WHEN {_MONTH} % 6 = 0 THEN 'Alert' ELSE 'Statement' END",
@@ -81,9 +107,10 @@ def _sql(columns: dict[str, str], table: str, where: str = "true", distinct: str
     return f"SELECT {distinct} " + ", ".join(f"{e} AS {c}" for c, e in columns.items()) + f" FROM {table} WHERE {where}"
 
 
+_COPIED = "SELECT *, 0 AS copy FROM orders" + "".join(f" UNION ALL SELECT *, {n} AS copy FROM orders WHERE {w}" for n, w in _COPIES.items())
 _WITH = (
-    f"WITH txns AS ({_sql(TXN, 'orders')}), accounts AS ({_sql(ACCOUNT, 'customer', 'c_custkey < 200')}), "
-    f"statements AS ({_sql(STATEMENT_OF, 'orders', distinct='DISTINCT')}), live AS (SELECT * FROM txns WHERE NOT is_deleted AND superseded_by IS NULL) "
+    f"WITH RECURSIVE base AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in _BASE.items())} FROM ({_COPIED})), txns AS ({_sql(TXN, 'base')}), accounts AS ({_sql(ACCOUNT, 'customer')}), "
+    f"statements AS ({_sql(STATEMENT_OF, 'base', distinct='DISTINCT')}), live AS (SELECT * FROM txns WHERE NOT is_deleted AND superseded_by IS NULL) "
 )
 
 
@@ -91,22 +118,30 @@ def _expr(columns: dict[str, str]) -> list[str]:
     return [f"{e} AS `{c}`" for c, e in columns.items()]
 
 
+def _base(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders, one row for each transaction they give."""
+    copies = F.array(F.lit(0), *(F.when(F.expr(w), F.lit(n)) for n, w in _COPIES.items()))
+    return spark.read.parquet(f"{sf}/orders.parquet").withColumn("copy", F.explode(F.array_compact(copies))).selectExpr("*", *_expr(_BASE))
+
+
 def txns(spark: SparkSession, sf: str) -> DataFrame:
-    return migrate(spark.read.parquet(f"{sf}/orders.parquet").selectExpr(_expr(TXN)).withColumn("amount", F.col("amount").cast(MONEY)), "transactions")
+    return migrate(_base(spark, sf).selectExpr(_expr(TXN)).withColumn("amount", F.col("amount").cast(MONEY)), "transactions")
 
 
 def accounts(spark: SparkSession, sf: str) -> DataFrame:
-    return migrate(spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey < 200").selectExpr(_expr(ACCOUNT)), "accounts")
+    return migrate(spark.read.parquet(f"{sf}/customer.parquet").selectExpr(_expr(ACCOUNT)), "accounts")
 
 
 def statement_table(spark: SparkSession, sf: str) -> DataFrame:
-    return migrate(spark.read.parquet(f"{sf}/orders.parquet").selectExpr(_expr(STATEMENT_OF)).distinct(), "statements")
+    return migrate(_base(spark, sf).selectExpr(_expr(STATEMENT_OF)).distinct(), "statements")
 
 
 def keeper(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
     """Writes tables to the shared folder of spark.checkpoint.dir, to cut lineage."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         base = f"file://{tempfile.mkdtemp(prefix='coinloom-')}"
@@ -254,7 +289,41 @@ def dedup_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 
 # Duplicates and transfers
 
-_KIND = "SELECT l.*, a.is_credit_card, a.account_seq FROM live l JOIN accounts a ON a.id = l.account_id"
+_NORM = _norm_sql("description_raw")
+_KINDS = f", kinds AS (SELECT l.*, a.is_credit_card, a.account_seq, {_NORM} AS norm FROM live l JOIN accounts a ON a.id = l.account_id)"
+_SAME = "e.date = i.date AND left(e.norm, 60) = left(i.norm, 60)"
+_NEAR = "e.amount = i.amount AND e.direction = i.direction AND abs(date_diff('day', e.date, i.date)) <= 1"
+
+
+def _greedy(candidates: str, block: str, turn: str, also: str = "") -> str:
+    """CTE chosen(incoming_id, existing_id): in order, each takes its first candidate that is not gone.
+
+    candidates: incoming_id, existing_id, liking, and what block and turn read. Blocks are
+    independent and walked side by side, a step of each at a time. also: what else is gone once a row took one.
+    """
+    return (
+        f", cands AS ({candidates}), steps AS (SELECT block, row_number() OVER (PARTITION BY block ORDER BY turn, incoming_id) AS k, incoming_id, likes FROM "
+        f"(SELECT {block} AS block, {turn} AS turn, incoming_id, list(existing_id ORDER BY liking) AS likes FROM cands GROUP BY ALL)), "
+        "walk AS (SELECT DISTINCT block, cast(0 AS bigint) AS k, cast([] AS varchar[]) AS gone, cast(NULL AS varchar) AS incoming_id, cast(NULL AS varchar) AS existing_id FROM steps "
+        f"UNION ALL SELECT block, k, CASE WHEN pick IS NULL THEN gone ELSE list_concat(gone, [pick{also}]) END, incoming_id, pick FROM "
+        "(SELECT s.block, s.k, w.gone, s.incoming_id, list_filter(s.likes, lambda c: NOT list_contains(w.gone, c))[1] AS pick FROM walk w JOIN steps s ON s.block = w.block AND s.k = w.k + 1)), "
+        "chosen AS (SELECT incoming_id, existing_id FROM walk WHERE existing_id IS NOT NULL) "
+    )
+
+
+def _linked_sql(sides: str, turn: str, liking: str, scope: str = "''", also: str = "") -> str:
+    """Links of matching rows i to e, in order."""
+    pairs = (
+        f"SELECT i.id AS incoming_id, e.id AS existing_id, concat({scope}, i.amount, i.direction) AS block_of, {turn} AS turn_of, {liking} AS liking, CASE WHEN {_SAME} THEN 'CANONICAL' ELSE 'FUZZY' END AS layer "
+        f"FROM kinds e JOIN kinds i ON {_NEAR} AND {sides} WHERE ({_SAME}) OR jaro_winkler_similarity(e.norm, i.norm) >= 0.92"
+    )
+    return _greedy(pairs, "block_of", "turn_of", also) + ", links AS (SELECT c.incoming_id, c.existing_id, p.layer FROM chosen c JOIN cands p ON p.incoming_id = c.incoming_id AND p.existing_id = c.existing_id) "
+
+
+_ACROSS = _KINDS + _linked_sql("NOT e.is_credit_card AND i.is_credit_card", "i.txn_seq", f"CASE WHEN {_SAME} THEN 0 ELSE 1 END * 1e12 + e.txn_seq")
+_FOUND = _KINDS + _linked_sql(
+    "e.is_credit_card <> i.is_credit_card AND e.account_seq < i.account_seq", "(i.account_seq, i.txn_seq)", f"(CASE WHEN {_SAME} THEN 0 ELSE 1 END, e.account_seq, e.txn_seq)", also=", incoming_id"
+)
 
 
 def _bank_and_card(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -263,33 +332,48 @@ def _bank_and_card(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("not is_credit_card"), rows.where("is_credit_card")
 
 
-@query(_WITH + f", kinds AS (SELECT id, txn_seq, date, amount, direction, is_credit_card, {_norm_sql('description_raw')} AS norm FROM ({_KIND})), pairs AS (SELECT e.id AS existing_id, i.id AS incoming_id, e.date = i.date AND left(e.norm, 60) = left(i.norm, 60) AS same, jaro_winkler_similarity(e.norm, i.norm) AS likeness FROM kinds e JOIN kinds i ON NOT e.is_credit_card AND i.is_credit_card AND e.amount = i.amount AND e.direction = i.direction AND abs(date_diff('day', e.date, i.date)) <= 1) SELECT existing_id, incoming_id, CASE WHEN same THEN 'CANONICAL' ELSE 'FUZZY' END AS layer FROM pairs WHERE same OR likeness >= 0.92")
+@query(_WITH + _KINDS + f", pairs AS (SELECT e.id AS existing_id, i.id AS incoming_id, {_SAME} AS same, jaro_winkler_similarity(e.norm, i.norm) AS likeness FROM kinds e JOIN kinds i ON NOT e.is_credit_card AND i.is_credit_card AND {_NEAR}) SELECT existing_id, incoming_id, CASE WHEN same THEN 'CANONICAL' ELSE 'FUZZY' END AS layer FROM pairs WHERE same OR likeness >= 0.92")
 def duplicate_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.candidate_pairs(*_bank_and_card(spark, sf)).select("existing_id", "incoming_id", "layer")
 
 
-@query()
+@query(_WITH + _ACROSS + "SELECT * FROM links")
 def cross_source_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.cross_source_duplicates(*_bank_and_card(spark, sf), keeper(spark))
 
 
-@query()
+@query(_WITH + _FOUND + "SELECT * FROM links")
 def find_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.find_duplicates(txns(spark, sf), accounts(spark, sf), keeper(spark))
 
 
-@query()
+@query(_WITH + _FOUND + "SELECT t.id, coalesce(t.superseded_by, l.existing_id) AS superseded_by, l.layer AS dedup_layer FROM txns t LEFT JOIN links l ON l.incoming_id = t.id")
+def link_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """transactions after the links are written."""
+    rows, keep = txns(spark, sf), keeper(spark)
+    return dedup.link(rows, dedup.find_duplicates(rows, accounts(spark, sf), keep)).select("id", "superseded_by", "dedup_layer")
+
+
+@query(_WITH + _FOUND + "SELECT count(*) AS duplicates_linked, count(*) FILTER (WHERE layer = 'CANONICAL') AS canonical, count(*) FILTER (WHERE layer = 'FUZZY') AS fuzzy FROM links")
 def duplicate_summary(spark: SparkSession, sf: str) -> DataFrame:
-    keep = keeper(spark)
-    return dedup.summary(keep(dedup.find_duplicates(txns(spark, sf), accounts(spark, sf), keep), "links"))
+    return dedup.summary(dedup.find_duplicates(txns(spark, sf), accounts(spark, sf), keeper(spark)))
+
+
+_AGAIN = "acct % 10 = 7 AND o_orderkey % 4 <> 0"
+_REIMPORT = (
+    f", every AS (SELECT id, account_id, txn_seq, date, amount, direction, description_raw, is_deleted, superseded_by, false AS again FROM txns UNION ALL SELECT concat('again-', id), account_id, txn_seq + 1000000000, date, amount, direction, description_raw, is_deleted, superseded_by, true FROM ({_sql(TXN, 'base', _AGAIN)})), "
+    f"kinds AS (SELECT *, {_NORM} AS norm FROM every WHERE NOT is_deleted AND superseded_by IS NULL)"
+    + _linked_sql("e.account_id = i.account_id AND i.again AND NOT e.again", "i.txn_seq", f"CASE WHEN {_SAME} THEN 0 ELSE 1 END * 1e12 + e.txn_seq", scope="i.account_id")
+)
 
 
-@query()
+@query(_WITH + _REIMPORT + "SELECT * FROM links WHERE layer = 'CANONICAL'")
 def reimported_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """A statement imported again: its rows link to those that were there."""
+    """The statements of each tenth account imported again: their rows link to those that were there."""
     rows = txns(spark, sf)
-    again = rows.where("statement_id = 's7-3'").withColumns({"id": F.concat(F.lit("again-"), "id"), "statement_id": F.lit("again"), "txn_seq": F.col("txn_seq") + 10**9})
-    return dedup.reimported_rows(rows.unionByName(again), "again", keeper(spark))
+    again = migrate(_base(spark, sf).where(_AGAIN).selectExpr(_expr(TXN)).withColumn("amount", F.col("amount").cast(MONEY)), "transactions")
+    again = again.withColumns({"id": F.concat(F.lit("again-"), "id"), "statement_id": F.concat(F.lit("again-"), "statement_id"), "txn_seq": F.col("txn_seq") + 10**9})
+    return dedup.reimported_rows(rows.unionByName(again), again.select("statement_id"), keeper(spark))
 
 
 def _transfer_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -299,23 +383,52 @@ def _transfer_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 _TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({0}.description_raw), '\\s+'), lambda t: t <> ''))"
 _SIMILAR = f"(len(list_intersect({_TOKENS.format('o')}, {_TOKENS.format('i')})) / len(list_distinct(list_concat({_TOKENS.format('o')}, {_TOKENS.format('i')}))))"
+_BAND = (
+    ", rows AS (SELECT t.*, a.is_credit_card FROM txns t JOIN accounts a ON a.id = t.account_id WHERE NOT is_deleted AND transfer_group_id IS NULL), "
+    f"band AS (SELECT o.id AS outflow_id, i.id AS inflow_id, o.date AS o_date, o.amount AS o_amount, o.is_credit_card OR i.is_credit_card AS is_credit_card_payment, abs(date_diff('day', o.date, i.date)) AS days, abs(o.amount - i.amount) AS difference, {_SIMILAR} AS similarity "
+    "FROM rows o JOIN rows i ON o.direction = 'Debit' AND i.direction = 'Credit' AND o.account_id <> i.account_id AND abs(date_diff('day', o.date, i.date)) <= 1 AND abs(o.amount - i.amount) <= 1), "
+    "scored AS (SELECT *, round(greatest(1.0 - 0.2 * days - 0.2 * cast(difference AS double) + 0.2 * similarity, 0.0), 9) AS score FROM band)"
+)
+_RUNS = (
+    ", runs AS (SELECT id, sum(CASE WHEN amount - before <= 1 THEN 0 ELSE 1 END) OVER (ORDER BY amount, id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT id, amount, lag(amount) OVER (ORDER BY amount, id) AS before FROM rows))"
+    + _greedy(
+        "SELECT outflow_id AS incoming_id, inflow_id AS existing_id, run, o_date, (days, difference, -similarity, inflow_id) AS liking FROM scored JOIN runs ON runs.id = outflow_id", "run", "(o_date, incoming_id)"
+    )
+    + ", pairs AS (SELECT s.outflow_id, s.inflow_id, s.is_credit_card_payment, s.score FROM chosen c JOIN scored s ON s.outflow_id = c.incoming_id AND s.inflow_id = c.existing_id) "
+)
 
 
-@query(_WITH + f", rows AS (SELECT t.*, a.is_credit_card FROM txns t JOIN accounts a ON a.id = t.account_id WHERE NOT is_deleted) SELECT o.id AS outflow_id, i.id AS inflow_id, o.is_credit_card OR i.is_credit_card AS is_credit_card_payment, round(greatest(1.0 - 0.2 * abs(date_diff('day', o.date, i.date)) - 0.2 * cast(abs(o.amount - i.amount) AS double) + 0.2 * {_SIMILAR}, 0.0), 9) AS score FROM rows o JOIN rows i ON o.direction = 'Debit' AND i.direction = 'Credit' AND o.account_id <> i.account_id AND abs(date_diff('day', o.date, i.date)) <= 1 AND abs(o.amount - i.amount) <= 1")
+@query(_WITH + _BAND + " SELECT outflow_id, inflow_id, is_credit_card_payment, score FROM scored")
 def transfer_candidates(spark: SparkSession, sf: str) -> DataFrame:
     pairs = transfers.candidate_pairs(_transfer_rows(spark, sf))
     return pairs.select("outflow_id", "inflow_id", "is_credit_card_payment", F.round("score", 9).alias("score"))
 
 
-@query()
+@query(_WITH + _BAND + _RUNS + "SELECT * FROM pairs")
 def detect_transfers(spark: SparkSession, sf: str) -> DataFrame:
-    return transfers.detect_transfers(_transfer_rows(spark, sf), keeper(spark))
+    return transfers.detect_transfers(_transfer_rows(spark, sf), keeper(spark)).withColumn("score", F.round("score", 9))
+
+
+@query(
+    _WITH + _BAND + _RUNS + ", legs AS (SELECT outflow_id AS id, outflow_id, inflow_id, is_credit_card_payment AS card FROM pairs UNION ALL SELECT inflow_id, outflow_id, inflow_id, is_credit_card_payment FROM pairs), "
+    "done AS (SELECT t.*, l.card, sha256(concat(l.outflow_id, '|', l.inflow_id)) AS new_group, l.id IS NOT NULL AND t.transfer_group_id IS NULL AND (t.categorised_by IS NULL OR t.categorised_by NOT IN ('PERSON', 'PERSON_MEMORY')) AS hit FROM txns t LEFT JOIN legs l ON l.id = t.id) "
+    "SELECT id, is_transfer OR hit AS is_transfer, CASE WHEN hit THEN new_group ELSE transfer_group_id END AS transfer_group_id, CASE WHEN NOT hit THEN category_id WHEN card THEN 'CREDIT_CARD_BILL_PAYMENT' ELSE 'SELF_TRANSFER' END AS category_id, CASE WHEN hit THEN 'TRANSFER_DETECTOR' ELSE categorised_by END AS categorised_by FROM done"
+)
+def link_transfers(spark: SparkSession, sf: str) -> DataFrame:
+    """transactions after the pairs are written."""
+    pairs = transfers.detect_transfers(_transfer_rows(spark, sf), keeper(spark))
+    return transfers.link_transfers(txns(spark, sf), pairs).select("id", "is_transfer", "transfer_group_id", "category_id", "categorised_by")
+
+
+@query(_WITH + _BAND + _RUNS + "SELECT count(*) AS pairs_linked, count(*) FILTER (WHERE is_credit_card_payment) AS credit_card_payments FROM pairs")
+def transfer_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return transfers.summary(transfers.detect_transfers(_transfer_rows(spark, sf), keeper(spark)))
 
 
 # Categories
 
 _MERCHANT_ROWS = [(1, 10, "LITERAL", "Green Grocer", "GROCERIES"), (2, 5, "REGEX", "orbit\\s+cine", "ENTERTAINMENT"), (3, 20, "REGEX", "broken(", "FUEL"), (4, 20, "LITERAL", "nova", "FUEL")]
-_RULE_ROWS = [("r1", 1, 50, True, "KEYWORD", "pharmacy", "HEALTH_AND_MEDICAL"), ("r2", 2, 50, False, "REGEX", "PHARM.CY", "SHOPPING"), ("r3", 3, 60, True, "AMOUNT_RANGE", "10.00, 12.50", "TRANSPORT"), ("r4", 4, 1, True, "AMOUNT_RANGE", "ten", "RENT_EMI")]
+_RULE_ROWS = [("r1", 1, 50, True, "KEYWORD", "pharmacy", "HEALTH_AND_MEDICAL"), ("r2", 2, 50, False, "REGEX", "PHARM.CY", "SHOPPING"), ("r3", 3, 60, True, "AMOUNT_RANGE", "1000.00, 2500.00", "TRANSPORT"), ("r4", 4, 1, True, "AMOUNT_RANGE", "ten", "RENT_EMI")]
 _SOURCE_ROWS = [(1, "ICICI", "FOOD", "FOOD_AND_DINING"), (2, "ICICI", "FOOD", "TRAVEL")]
 
 
@@ -337,8 +450,8 @@ _STAGED = (
     f", facts AS (SELECT t.*, a.bank_code, a.is_credit_card, {_norm_sql('t.description_raw')} AS norm FROM txns t JOIN accounts a ON a.id = t.account_id), "
     f"staged AS (SELECT *, {_CARD_RULE} AS t0, CASE WHEN bank_code = 'ICICI' AND source_category = 'FOOD' THEN 'FOOD_AND_DINING' END AS t1, "
     "CASE WHEN regexp_matches(norm, 'orbit\\s+cine') THEN 'ENTERTAINMENT' WHEN contains(norm, 'green grocer') THEN 'GROCERIES' WHEN contains(norm, 'nova') THEN 'FUEL' END AS t2, "
-    "CASE WHEN regexp_matches(description_raw, '(?i)PHARM.CY') THEN 'SHOPPING' WHEN contains(lower(description_raw), 'pharmacy') THEN 'HEALTH_AND_MEDICAL' WHEN amount BETWEEN 10 AND 12.5 THEN 'TRANSPORT' END AS t3, "
-    "CASE WHEN regexp_matches(description_raw, '(?i)PHARM.CY') THEN 'r2' WHEN contains(lower(description_raw), 'pharmacy') THEN 'r1' WHEN amount BETWEEN 10 AND 12.5 THEN 'r3' END AS rule FROM facts) "
+    "CASE WHEN regexp_matches(description_raw, '(?i)PHARM.CY') THEN 'SHOPPING' WHEN contains(lower(description_raw), 'pharmacy') THEN 'HEALTH_AND_MEDICAL' WHEN amount BETWEEN 1000 AND 2500 THEN 'TRANSPORT' END AS t3, "
+    "CASE WHEN regexp_matches(description_raw, '(?i)PHARM.CY') THEN 'r2' WHEN contains(lower(description_raw), 'pharmacy') THEN 'r1' WHEN amount BETWEEN 1000 AND 2500 THEN 'r3' END AS rule FROM facts) "
 )
 _STAGE = "CASE WHEN t0 IS NOT NULL THEN 'CC_RULE' WHEN t1 IS NOT NULL THEN 'T1_SOURCE_CATEGORY' WHEN t2 IS NOT NULL THEN 'T2_MERCHANT_MAP' WHEN t3 IS NOT NULL THEN 'T3_RULE' END"
 
@@ -351,7 +464,7 @@ def categorize(spark: SparkSession, sf: str) -> DataFrame:
 
 _MEMORY = [("river books", "EDUCATION"), ("corner bakery", "FOOD_AND_DINING")]
 _REMEMBERED = f"CASE {_portion_sql('description_raw')} WHEN 'river books' THEN 'EDUCATION' WHEN 'corner bakery' THEN 'FOOD_AND_DINING' END"
-_MAY = "NOT is_deleted AND superseded_by IS NULL AND (categorised_by IS NULL OR categorised_by NOT IN ('PERSON', 'PERSON_MEMORY'))"
+_MAY = "NOT is_deleted AND superseded_by IS NULL AND NOT is_transfer AND (categorised_by IS NULL OR categorised_by NOT IN ('PERSON', 'PERSON_MEMORY'))"
 
 
 @query(_WITH + _STAGED + f", known AS (SELECT *, {_REMEMBERED} AS remembered, {_MAY} AS may FROM staged) SELECT id, CASE WHEN may THEN coalesce(remembered, t0, t1, t2, t3) ELSE category_id END AS category_id, CASE WHEN may THEN CASE WHEN remembered IS NOT NULL THEN 'PERSON_MEMORY' ELSE {_STAGE} END ELSE categorised_by END AS categorised_by FROM known")
@@ -360,7 +473,10 @@ def categorize_stored(spark: SparkSession, sf: str) -> DataFrame:
     return cat.categorize_stored(txns(spark, sf), accounts(spark, sf), *_category_facts(spark), known).select("id", "category_id", "categorised_by")
 
 
-@query(_WITH + f"SELECT a.id AS account_id, a.name AS display_name, count(*) AS n FROM live l JOIN accounts a ON a.id = l.account_id WHERE l.categorised_by IS DISTINCT FROM 'PERSON' AND {_portion_sql('l.description_raw')} = 'river books' GROUP BY 1, 2")
+_UNLIKE = "NOT (l.categorised_by IS NOT DISTINCT FROM 'PERSON_MEMORY' AND l.category_id IS NOT DISTINCT FROM 'EDUCATION')"
+
+
+@query(_WITH + f"SELECT a.id AS account_id, a.name AS display_name, count(*) AS n FROM live l JOIN accounts a ON a.id = l.account_id WHERE l.categorised_by IS DISTINCT FROM 'PERSON' AND {_UNLIKE} AND {_portion_sql('l.description_raw')} = 'river books' GROUP BY 1, 2")
 def memory_preview(spark: SparkSession, sf: str) -> DataFrame:
     return memory.preview(txns(spark, sf), spark.createDataFrame(_MEMORY, TABLES["merchant_memory"]), accounts(spark, sf), "river books")
 
@@ -420,10 +536,14 @@ _CARDS = {
 }
 
 
+#: Orders whose lines make the documents of a group.
+ORDERS = 60
+
+
 def _items(spark: SparkSession, sf: str, kind: int, kinds: int) -> DataFrame:
     df = spark.read.parquet(f"{sf}/lineitem.parquet").where(F.col("l_orderkey") % kinds == kind)
     return df.select(
-        F.concat(F.lit(f"k{kind}-"), F.pmod("l_orderkey", F.lit(500)).cast("string")).alias("doc"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"),
+        F.concat(F.lit(f"k{kind}-"), F.floor(F.col("l_orderkey") / ORDERS).cast("string")).alias("doc"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"),
         F.col("l_shipdate").cast("date").alias("day"), F.col("l_extendedprice").cast("decimal(18,2)").alias("money"), (F.col("l_returnflag") == "R").alias("credit"),
         F.concat(F.lit("SHOP P"), F.col("l_partkey").cast("string"), F.lit(" SALE")).alias("shop"),
     )
@@ -442,7 +562,7 @@ def _filled(form: str, values: dict[str, Column]) -> Column:
 
 
 def card_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """One document for each of 500 groups of orders and each card issuer."""
+    """One document for each group of orders and each card issuer."""
     out = None
     for i, (issuer, (head, day, form, (plus, minus))) in enumerate(_CARDS.items()):
         items = _items(spark, sf, i, len(_CARDS))
@@ -455,7 +575,7 @@ def card_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _card_sql(kind: int, issuer: str) -> str:
-    return f"SELECT concat('k{kind}-', cast(l_orderkey % 500 AS varchar), '-{issuer}') AS doc_id, '{issuer}' AS issuer, CAST(l_shipdate AS DATE) AS value_date, round(l_extendedprice, 2) AS amount, CASE WHEN l_returnflag = 'R' THEN 'Credit' ELSE 'Debit' END AS direction, concat('SHOP P', cast(l_partkey AS varchar), ' SALE') AS description_raw FROM lineitem WHERE l_orderkey % {len(_CARDS)} = {kind}"
+    return f"SELECT concat('k{kind}-', cast(l_orderkey // {ORDERS} AS varchar), '-{issuer}') AS doc_id, '{issuer}' AS issuer, CAST(l_shipdate AS DATE) AS value_date, round(l_extendedprice, 2) AS amount, CASE WHEN l_returnflag = 'R' THEN 'Credit' ELSE 'Debit' END AS direction, concat('SHOP P', cast(l_partkey AS varchar), ' SALE') AS description_raw FROM lineitem WHERE l_orderkey % {len(_CARDS)} = {kind}"
 
 
 @query(" UNION ALL ".join(_card_sql(i, x) for i, x in enumerate(_CARDS)))
@@ -499,7 +619,7 @@ def ledger_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def _ledger_sql(kind: int, issuer: str) -> str:
     return (
-        f"SELECT concat('k{kind}-', cast(l_orderkey % 500 AS varchar), '-{issuer}') AS doc_id, CAST(l_shipdate AS DATE) AS value_date, round(l_extendedprice, 2) AS amount, CASE WHEN l_returnflag = 'R' THEN 'Credit' ELSE 'Debit' END AS direction, "
+        f"SELECT concat('k{kind}-', cast(l_orderkey // {ORDERS} AS varchar), '-{issuer}') AS doc_id, CAST(l_shipdate AS DATE) AS value_date, round(l_extendedprice, 2) AS amount, CASE WHEN l_returnflag = 'R' THEN 'Credit' ELSE 'Debit' END AS direction, "
         f"concat('{_INLINE[issuer]}', 'SHOP P', cast(l_partkey AS varchar), ' SALE BRANCH') AS description_raw, true AS amount_matches_delta FROM lineitem WHERE l_orderkey % {len(_LEDGERS)} = {kind}"
     )
 
@@ -519,7 +639,7 @@ def read_ledgers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "WITH items AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS place FROM (SELECT l_orderkey % 500 AS g, * FROM lineitem)) "
+    "WITH items AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS place FROM (SELECT l_orderkey // 60 AS g, * FROM lineitem)) "
     "SELECT concat('d', cast(g AS varchar)) AS doc_id, count(*) AS checked_rows, count(*) FILTER (WHERE place % 7 = 0) + count(*) FILTER (WHERE place % 10 = 0 AND place % 7 <> 0) AS suspect_count, "
     "CASE WHEN count(*) FILTER (WHERE place % 7 = 0 OR place % 10 = 0) = 0 THEN 'RECONCILED' ELSE 'NEEDS_REVIEW' END AS status, least(20, count(*) FILTER (WHERE place % 7 = 0 OR place % 10 = 0)) AS listed FROM items GROUP BY g"
 )
@@ -527,7 +647,7 @@ def balance_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Ledgers in which each seventh balance is missing and each tenth amount is misprinted."""
     df = spark.read.parquet(f"{sf}/lineitem.parquet")
     order = Window.partitionBy("doc_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    rows = df.withColumn("doc_id", F.concat(F.lit("d"), F.pmod("l_orderkey", F.lit(500)).cast("string")))
+    rows = df.withColumn("doc_id", F.concat(F.lit("d"), F.floor(F.col("l_orderkey") / ORDERS).cast("string")))
     rows = rows.withColumns({"line_index": F.row_number().over(order), "amount": F.col("l_extendedprice").cast(MONEY)})
     # A missing balance leaves the next row to be held against the one before: its amount is the sum of both.
     gone, prev_gone = F.col("line_index") % 7 == 0, (F.col("line_index") - 1) % 7 == 0
