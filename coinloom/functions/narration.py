@@ -24,13 +24,14 @@ MAX_SEGMENTS, REFERENCE_DIGITS = 2, 4
 _SPACE = r"(?U)\s+"
 
 
-def _trim(text: Column) -> Column:
+def trim(text: Column) -> Column:
+    """Without white space of any kind at either end."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def normalize_description(text: Column) -> Column:
     """White space collapsed, upper case."""
-    return F.upper(_trim(F.regexp_replace(text, _SPACE, " ")))
+    return F.upper(trim(F.regexp_replace(text, _SPACE, " ")))
 
 
 def amount_text(amount: Column) -> Column:
@@ -45,11 +46,11 @@ def dedup_fingerprint(date: Column, amount: Column, description: Column, directi
 
 def normalize_narration(text: Column) -> Column:
     """Without channel prefixes, RRN references and a trailing reference number; lower case."""
-    out = F.regexp_replace(_trim(text), rf"(?iU)^(?:(?:{CHANNEL_PREFIX})\s*)+", "")
+    out = F.regexp_replace(trim(text), rf"(?iU)^(?:(?:{CHANNEL_PREFIX})\s*)+", "")
     out = F.regexp_replace(out, r"(?iU)\bRRN\d+\b", "")
     out = F.regexp_replace(out, _SPACE, " ")
     out = F.regexp_replace(out, r"(?U)\b[0-9]{10,16}\b\s*$", "")
-    return _trim(F.lower(out))
+    return trim(F.lower(out))
 
 
 def prefix60(normalized: Column) -> Column:

@@ -14,10 +14,10 @@ FALLBACKS = ("ROW1_X_POSITION", "ROW1_PROVISIONAL")
 
 
 def balance_chain(statements: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row per statement: status, checked_rows, suspect_count, suspects, row1_direction_fallback.
+    """One row per statement: status, checked_rows, suspect_count, suspects, row1_direction_fallback, derived balances, reason.
 
-    statements: doc_id, printed_opening_balance. rows: doc_id, line_index, amount, balance,
-    direction_source. Each balance must differ from the one before by the amount. A row without
+    statements: doc_id, printed_opening_balance and, if there, printed_closing_balance. rows:
+    doc_id, line_index, amount, balance, direction_source and, if there, serial. Each balance must differ from the one before by the amount. A row without
     a balance is a suspect and does not advance the chain; a first row whose direction was only
     guessed is not held against its own guess, but leaves the statement to be reviewed.
     """
@@ -29,20 +29,25 @@ def balance_chain(statements: DataFrame, rows: DataFrame) -> DataFrame:
     missing = F.col("balance").isNull()
     delta = F.abs(F.col("balance") - F.col("prev"))
     wrong = ~missing & F.col("prev").isNotNull() & ~guessed & (F.abs(F.col("amount") - delta) > TOLERANCE)
-    reason = F.when(missing, F.lit("missing running balance")).when(wrong, F.lit("amount differs from balance change"))
-    suspect = F.when(reason.isNotNull(), F.struct("row", "amount", reason.alias("reason")))
+    cents = "decimal(38,2)"
+    differs = F.concat(F.lit("amount "), F.col("amount").cast(cents).cast("string"), F.lit(" != |balance delta| "), delta.cast(cents).cast("string"))
+    reason = F.when(missing, F.lit("missing running balance")).when(wrong, differs)
+    serial = F.col("serial") if "serial" in rows.columns else F.lit(None).cast("string")
+    suspect = F.when(reason.isNotNull(), F.struct("row", serial.alias("serial"), "amount", reason.alias("reason")))
     sums = out.groupBy("doc_id").agg(
         F.count("*").alias("checked_rows"), F.count(suspect).alias("suspect_count"), F.bool_or(guessed).alias("row1_direction_fallback"),
         F.slice(F.array_sort(F.collect_list(suspect)), 1, MOST_SUSPECTS).alias("suspects"),
     )
-    sums = statements.select("doc_id").join(sums, "doc_id", "left")
+    closing = F.col("printed_closing_balance") if "printed_closing_balance" in statements.columns else F.lit(None).cast(MONEY)
+    heads = statements.select("doc_id", F.col("printed_opening_balance").alias("derived_opening_balance"), closing.alias("derived_closing_balance"))
+    sums = heads.join(sums, "doc_id", "left").withColumn("reason", F.when(F.col("checked_rows").isNull(), F.lit("no parsed transactions")))
     sums = sums.withColumns({"checked_rows": F.coalesce("checked_rows", F.lit(0)), "suspect_count": F.coalesce("suspect_count", F.lit(0)), "row1_direction_fallback": F.coalesce("row1_direction_fallback", F.lit(False))})
     good = (F.col("checked_rows") > 0) & (F.col("suspect_count") == 0) & ~F.col("row1_direction_fallback")
     return sums.withColumn("status", F.when(good, RECONCILED).otherwise(NEEDS_REVIEW))
 
 
 def reconcile(statements: DataFrame, rows: DataFrame) -> DataFrame:
-    """Sums by direction against printed totals, else against the change of balance; null status with neither."""
+    """Sums by direction against printed totals, else against the change of balance; null status and a reason with neither."""
     sums = rows.groupBy("doc_id").agg(F.sum(F.when(F.col("direction") == DEBIT, F.col("amount"))).alias("d"), F.sum(F.when(F.col("direction") == CREDIT, F.col("amount"))).alias("c"))
     out = statements.join(sums, "doc_id", "left")
     out = out.withColumns({"read_debits": F.coalesce("d", F.lit(0)).cast(MONEY), "read_credits": F.coalesce("c", F.lit(0)).cast(MONEY)})
@@ -55,5 +60,7 @@ def reconcile(statements: DataFrame, rows: DataFrame) -> DataFrame:
     use_balance = ~has_totals & expected.isNotNull()
     return out.select(
         "doc_id", F.when(ok, F.lit(RECONCILED)).when(~ok, F.lit(NEEDS_REVIEW)).alias("status"), "read_debits", "read_credits",
+        F.when(has_totals, pd).alias("printed_debits"), F.when(has_totals, pc).alias("printed_credits"),
         F.when(use_balance, expected).alias("expected_balance_change"), F.when(use_balance, computed).alias("computed_balance_change"),
+        F.when(~has_totals & expected.isNull(), F.lit("no printed totals extracted")).alias("reason"),
     )

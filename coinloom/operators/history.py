@@ -31,6 +31,19 @@ def live_rows_of_statement(transactions: DataFrame) -> DataFrame:
     return transactions.where(live() & F.col("statement_id").isNotNull()).groupBy("statement_id").agg(F.count("*").alias("live_rows"))
 
 
+def list_accounts(accounts: DataFrame) -> DataFrame:
+    return accounts.orderBy("account_seq")
+
+
+def list_transactions(transactions: DataFrame, account_id: str) -> DataFrame:
+    """All rows of an account as they came, live or not."""
+    return transactions.where(F.col("account_id") == account_id).orderBy("txn_seq")
+
+
+def list_statements(statements: DataFrame, account_id: str) -> DataFrame:
+    return statements.where(F.col("account_id") == account_id).orderBy("created_at", "period_end", "id")
+
+
 def ordered(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("date"), F.asc("account_seq"), F.asc("txn_seq"))
 
@@ -63,7 +76,7 @@ def page(rows: DataFrame, limit: int, account_id: str | None = None, cursor: Dat
         rows = rows.where(F.col("account_id") == account_id)
     if cursor is not None:
         marks = cursor.select("account_id", F.col("date").alias("mark_date"), F.col("txn_seq").alias("mark_seq"))
-        rows = rows.join(F.broadcast(marks), "account_id")  # a cursor has a row an account on screen
+        rows = rows.join(marks, "account_id")
         after = (F.col("date") < F.col("mark_date")) | ((F.col("date") == F.col("mark_date")) & (F.col("txn_seq") > F.col("mark_seq")))
         rows = rows.where(after)
     else:

@@ -93,7 +93,7 @@ def import_statement(store: Store, request: Request, keep: Keep) -> Outcome:
     again = keep(reimported_rows(every, statement.select(F.col("id").alias("statement_id")), lambda d, n: keep(d, f"again_{n}")), "again")
     every = link(every, again)
     own = F.col("account_id") == account_id
-    decided = categorize_stored(every.where(own), accounts, store.table("merchant_map"), store.table("rules"), store.table("source_category_map"), store.table("merchant_memory"))
+    decided = categorize_stored(every.where(own), accounts, store.table("merchant_map"), store.table("rules"), store.table("source_category_map"), store.table("merchant_memory"), store.table("categories"))
     decided = keep(decided, "decided")
     counts = decided.where("was_eligible").agg(F.count("category_id").alias("yes"), F.count("*").alias("n")).first()
     every = keep(every.where(~own).unionByName(decided.drop("was_eligible")), "categorized")

@@ -18,8 +18,9 @@ from ..functions import narration as nr
 from ..functions import parsing as ps
 from ..operators import categorize as cat
 from ..operators import checks, coverage, dedup, history, memory, transfers
-from ..schema import CREDIT, DEBIT, DEFAULT_CATEGORIES, MONEY, TABLES, default_categories, live, migrate, signed_amount
+from ..schema import CREDIT, DEBIT, DEFAULT_CATEGORIES, MONEY, TABLES, default_categories, live, migrate, signed_amount, violations
 from ..sources import printed_rows, statements
+from ..streaming import statements as stream
 
 TODAY = "2025-11-30"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,6 +190,21 @@ def live_rows_of_statement(spark: SparkSession, sf: str) -> DataFrame:
     return history.live_rows_of_statement(txns(spark, sf))
 
 
+@query(_WITH + "SELECT id, name, bank_code, is_credit_card, account_seq FROM accounts")
+def list_accounts(spark: SparkSession, sf: str) -> DataFrame:
+    return history.list_accounts(accounts(spark, sf)).select("id", "name", "bank_code", "is_credit_card", "account_seq")
+
+
+@query(_WITH + "SELECT id, txn_seq, is_deleted, superseded_by FROM txns WHERE account_id = 'a7'")
+def list_transactions(spark: SparkSession, sf: str) -> DataFrame:
+    return history.list_transactions(txns(spark, sf), "a7").select("id", "txn_seq", "is_deleted", "superseded_by")
+
+
+@query(_WITH + "SELECT id, period_end, needs_review, source FROM statements WHERE account_id = 'a7'")
+def list_statements(spark: SparkSession, sf: str) -> DataFrame:
+    return history.list_statements(statement_table(spark, sf), "a7").select("id", "period_end", "needs_review", "source")
+
+
 def _history(spark: SparkSession, sf: str, unanswered: bool = False) -> DataFrame:
     rows = history.history_rows(txns(spark, sf), accounts(spark, sf), default_categories(spark), unanswered)
     return rows.withColumns(_double("amount"))
@@ -218,6 +234,12 @@ def history_account_worklist(spark: SparkSession, sf: str) -> DataFrame:
     return history.page(_history(spark, sf, True), 1000, account_id="a7").rows.select(*_SHOWN)
 
 
+@query(_WITH + f"{_ROWS} WHERE l.category_id IS NULL AND l.categorised_by IS NULL {_ORDER} LIMIT 200")
+def history_clamped_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The first rows of the worklist of all accounts; a thousand are asked for."""
+    return history.page(_history(spark, sf, True), 1000).rows.select(*_SHOWN)
+
+
 @query(_WITH + "SELECT date, count(*) AS n, string_agg(id, ',' ORDER BY account_seq, txn_seq) AS ids FROM (SELECT l.*, a.account_seq FROM live l JOIN accounts a ON a.id = l.account_id) GROUP BY date")
 def history_by_date(spark: SparkSession, sf: str) -> DataFrame:
     return history.by_date(_history(spark, sf)).withColumn("ids", F.array_join("ids", ","))
@@ -463,14 +485,50 @@ def categorize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _MEMORY = [("river books", "EDUCATION"), ("corner bakery", "FOOD_AND_DINING")]
+#: A catalog whose built-in category for bill payments has another id, a person's category of a default's name, and a rule that names no category.
+_CATALOG = [("CARD_BILL", "credit card bill payment", "CC_PAYMENT", True), ("MINE", "Cashbacks & Refunds", "REFUND", False)]
+_LOST_RULE = ("r5", 5, 0, False, "KEYWORD", "metro", "NOWHERE")
+
+
+def _catalog(spark: SparkSession) -> DataFrame:
+    own = spark.createDataFrame(_CATALOG, TABLES["categories"])
+    return default_categories(spark).where("id <> 'CREDIT_CARD_BILL_PAYMENT'").unionByName(own)
+
+
 _REMEMBERED = f"CASE {_portion_sql('description_raw')} WHEN 'river books' THEN 'EDUCATION' WHEN 'corner bakery' THEN 'FOOD_AND_DINING' END"
 _MAY = "NOT is_deleted AND superseded_by IS NULL AND NOT is_transfer AND (categorised_by IS NULL OR categorised_by NOT IN ('PERSON', 'PERSON_MEMORY'))"
 
 
-@query(_WITH + _STAGED + f", known AS (SELECT *, {_REMEMBERED} AS remembered, {_MAY} AS may FROM staged) SELECT id, CASE WHEN may THEN coalesce(remembered, t0, t1, t2, t3) ELSE category_id END AS category_id, CASE WHEN may THEN CASE WHEN remembered IS NOT NULL THEN 'PERSON_MEMORY' ELSE {_STAGE} END ELSE categorised_by END AS categorised_by FROM known")
+@query(_WITH + _STAGED + f", known AS (SELECT *, {_REMEMBERED} AS remembered, {_MAY} AS may FROM staged) SELECT id, CASE WHEN may THEN coalesce(remembered, CASE t0 WHEN 'CREDIT_CARD_BILL_PAYMENT' THEN 'CARD_BILL' ELSE t0 END, t1, t2, t3) ELSE category_id END AS category_id, CASE WHEN may THEN CASE WHEN remembered IS NOT NULL THEN 'PERSON_MEMORY' ELSE {_STAGE} END ELSE categorised_by END AS categorised_by FROM known")
 def categorize_stored(spark: SparkSession, sf: str) -> DataFrame:
+    return _decided(spark, sf).select("id", "category_id", "categorised_by")
+
+
+def _decided(spark: SparkSession, sf: str) -> DataFrame:
     known = spark.createDataFrame(_MEMORY, TABLES["merchant_memory"])
-    return cat.categorize_stored(txns(spark, sf), accounts(spark, sf), *_category_facts(spark), known).select("id", "category_id", "categorised_by")
+    merchants, rules, source_map = _category_facts(spark)
+    rules = rules.unionByName(spark.createDataFrame([_LOST_RULE], TABLES["rules"]))
+    return cat.categorize_stored(txns(spark, sf), accounts(spark, sf), merchants, rules, source_map, known, _catalog(spark))
+
+
+@query(_WITH + _STAGED + f", known AS (SELECT {_REMEMBERED} AS remembered, t0, t1, t2, t3 FROM staged WHERE {_MAY}) SELECT count(*) AS considered, count(coalesce(remembered, t0, t1, t2, t3)) AS categorized, count(*) - count(coalesce(remembered, t0, t1, t2, t3)) AS uncategorized FROM known")
+def categorize_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return cat.summary(_decided(spark, sf))
+
+
+@query("SELECT 'r1' AS id, 50 AS priority, 'Health & Medical' AS category_name UNION ALL SELECT 'r2', 50, 'Shopping' UNION ALL SELECT 'r3', 60, 'Transport' UNION ALL SELECT 'r4', 1, 'Rent / EMI'")
+def list_rules(spark: SparkSession, sf: str) -> DataFrame:
+    rules = _category_facts(spark)[1].unionByName(spark.createDataFrame([_LOST_RULE], TABLES["rules"]))
+    return cat.list_rules(rules, default_categories(spark)).select("id", F.col("priority").cast("int").alias("priority"), "category_name")
+
+
+@query(_WITH + "SELECT CASE WHEN categorised_by = 'T3_RULE' THEN 'categorised_by' ELSE 'direction' END AS column, CASE WHEN categorised_by = 'T3_RULE' THEN 'GUESS' ELSE 'Sideways' END AS value, count(*) AS n FROM txns WHERE (categorised_by = 'T3_RULE') OR (txn_seq % 19 = 0 AND categorised_by IS DISTINCT FROM 'T3_RULE') GROUP BY ALL".replace(" AS column", ' AS "column"'))
+def enumeration_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Values that no enumeration has, planted in two columns."""
+    guess = F.col("categorised_by") == "T3_RULE"
+    way = F.when((F.col("txn_seq") % 19 == 0) & ~F.coalesce(guess, F.lit(False)), "Sideways").otherwise(F.col("direction"))
+    rows = txns(spark, sf).withColumns({"direction": way, "categorised_by": F.when(guess, "GUESS").otherwise(F.col("categorised_by"))})
+    return violations(rows, "transactions")
 
 
 _UNLIKE = "NOT (l.categorised_by IS NOT DISTINCT FROM 'PERSON_MEMORY' AND l.category_id IS NOT DISTINCT FROM 'EDUCATION')"
@@ -526,29 +584,39 @@ def parse_tails(spark: SparkSession, sf: str) -> DataFrame:
 
 # Readers: statements rendered from line items and read back
 
-_CARDS = {
-    "ICICI_AMAZONPAY_CARD": ("ICICI Bank", "dd/MM/yyyy", "{date}1234567 {text} 12 {amount}{cr}", (" CR", "")),
-    "SBI_CASHBACK_CARD": ("SBI Card", "dd MMM yy", "{date} {text} {amount}{cr}", (" C", " D")),
-    "YES_KIWI_CARD": ("YES BANK", "dd/MM/yyyy", "{date} {text} {amount}{cr}", (" Cr", " Dr")),
-    "IOB_RUPAY_CARD": ("INDIAN OVERSEAS BANK", "dd-MMM-yyyy", "{date} {text} {amount}{cr}", (" Cr", " Dr")),
-    "FEDERAL_SCAPIA_CARD": ("Scapia", "dd-MM-yyyy", "{date} 10:15 {text} {cr}₹{amount}", ("+", "")),
-    "HDFC_SWIGGY_CARD": ("HDFC Bank Credit Card", "dd/MM/yyyy", "{date} | 09:30 {text} {cr}C {amount}", ("+ ", "")),
-}
-
-
+#: issuer, head, date format, line, and what stands for a credit and a debit. {s} is a space, a tab or a no-break space.
+_CARDS = (
+    ("ICICI_AMAZONPAY_CARD", "ICICI Bank\nStatement Date January 31, 2024\nCard 4315XXXXXXXX1000", "dd/MM/yyyy", "{date}1234567{s}{text}{s}12{s}{amount}{cr}", (" CR", "")),
+    ("SBI_CASHBACK_CARD", "SBI Card\nStatement Period: 01 Jan 24 to 31 Jan 24\nCredit Card Number 4012XXXXXXXX1001", "dd MMM yy", "{date}{s}{text}{s}{amount}{s}{cr}", ("C", "D")),
+    ("YES_KIWI_CARD", "YES BANK\n01/01/2024 To 31/01/2024\nCard Number 3561XXXXXXXX1002\nPurchases Rs. 1,234.50 Dr\nPayment & Credits Received Rs. 200.25 Cr", "dd/MM/yyyy", "{date}{s}{text}{s}{amount}{s}{cr}", ("Cr", "Dr")),
+    ("IOB_RUPAY_CARD", "INDIAN OVERSEAS BANK\nStmt Date : 31-Jan-2024\nCredit Card Number 6069XXXXXXXX1003\nACCOUNT SUMMARY\n1,000.00 200.25 1,234.50 0.00 2,034.25", "dd-MMM-yyyy", "{date}{s}{text}{s}{amount}{s}{cr}", ("Cr", "Dr")),
+    ("FEDERAL_SCAPIA_CARD", "Scapia\n01 Jan 2024 - 31 Jan 2024\nCard 6529XXXXXXXX1004", "dd-MM-yyyy", "{date} 10:15{s}{text}{s}{cr}₹{amount}", ("+", "")),
+    ("HDFC_SWIGGY_CARD", "HDFC Bank Credit Card\nBilling Period 01 Jan, 2024 - 31 Jan, 2024\nCard Number 4893XXXXXXXX1005", "dd/MM/yyyy", "{date} | 09:30{s}{text}{s}{cr}C {amount}", ("+ ", "")),
+    ("HDFC_SWIGGY_CARD", "HDFC Bank Credit Card\nfor the period from Jan-24 to Mar-24\nCard Number 4893XXXXXXXX1006", "dd-MMM-yyyy", "{date}{s}{text}{s}{amount}{s}{cr}", ("CR", "DR")),
+)
+#: Kinds whose rows tell a credit by the wording alone where no marker does.
+_WORDED = (0, 4)
 #: Orders whose lines make the documents of a group.
 ORDERS = 60
 
 
-def _items(spark: SparkSession, sf: str, kind: int, kinds: int) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/lineitem.parquet").where(F.col("l_orderkey") % kinds == kind)
+def _items(spark: SparkSession, sf: str, kinds: int) -> DataFrame:
+    df = spark.read.parquet(f"{sf}/lineitem.parquet")
+    kind = F.pmod("l_orderkey", F.lit(kinds)).cast("int")
     return df.select(
-        F.concat(F.lit(f"k{kind}-"), F.floor(F.col("l_orderkey") / ORDERS).cast("string")).alias("doc"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"),
-        F.col("l_shipdate").cast("date").alias("day"), F.col("l_extendedprice").cast("decimal(18,2)").alias("money"), (F.col("l_returnflag") == "R").alias("credit"),
-        F.concat(F.lit("SHOP P"), F.col("l_partkey").cast("string"), F.lit(" SALE")).alias("shop"),
+        kind.alias("kind"), F.concat(F.lit("k"), kind.cast("string"), F.lit("-"), F.floor(F.col("l_orderkey") / ORDERS).cast("string")).alias("doc_id"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"),
+        F.col("l_shipdate").cast("date").alias("day"), F.col("l_extendedprice").cast("decimal(18,2)").alias("money"), (F.col("l_returnflag") == "R").alias("credit"), F.col("l_partkey").alias("part"),
+        F.concat(F.when(F.col("l_partkey") % 40 == 0, "CASHBACK P").otherwise("SHOP P"), F.col("l_partkey").cast("string"), F.lit(" SALE")).alias("shop"),
+        F.when(F.col("l_partkey") % 7 == 0, "\u00a0").when(F.col("l_partkey") % 7 == 1, "\t").otherwise(" ").alias("space"),
     )
 
 
+_ITEM = (
+    "l_orderkey % {kinds} AS kind, concat('k', l_orderkey % {kinds}, '-', l_orderkey // {orders}) AS doc_id, CAST(l_shipdate AS DATE) AS value_date, round(l_extendedprice, 2) AS amount, l_returnflag = 'R' AS credit, l_partkey AS part, "
+    "concat(CASE WHEN l_partkey % 40 = 0 THEN 'CASHBACK P' ELSE 'SHOP P' END, cast(l_partkey AS varchar), ' SALE') AS shop"
+)
+
+
 def _filled(form: str, values: dict[str, Column]) -> Column:
     parts, rest = [], form
     while rest:
@@ -561,87 +629,150 @@ def _filled(form: str, values: dict[str, Column]) -> Column:
     return F.concat(*parts)
 
 
-def card_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """One document for each group of orders and each card issuer."""
-    out = None
-    for i, (issuer, (head, day, form, (plus, minus))) in enumerate(_CARDS.items()):
-        items = _items(spark, sf, i, len(_CARDS))
-        line = _filled(form, {"date": F.date_format("day", day), "text": F.col("shop"), "amount": F.format_number("money", 2), "cr": F.when(F.col("credit"), plus).otherwise(minus)})
-        body = items.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("k", "n", line.alias("line")))).alias("body"))
-        text = F.concat(F.lit(f"{head}\nCustomer relations\n"), F.array_join(F.transform("body", lambda x: x["line"]), "\n"), F.lit("\nTotal due"))
-        docs = body.select(F.concat("doc", F.lit(f"-{issuer}")).alias("doc_id"), text.alias("full_text"))
-        out = docs if out is None else out.unionByName(docs)
+def _by_kind(values: list[Column]) -> Column:
+    out = F.when(F.col("kind") == 0, values[0])
+    for i, v in enumerate(values[1:], 1):
+        out = out.when(F.col("kind") == i, v)
     return out
 
 
-def _card_sql(kind: int, issuer: str) -> str:
-    return f"SELECT concat('k{kind}-', cast(l_orderkey // {ORDERS} AS varchar), '-{issuer}') AS doc_id, '{issuer}' AS issuer, CAST(l_shipdate AS DATE) AS value_date, round(l_extendedprice, 2) AS amount, CASE WHEN l_returnflag = 'R' THEN 'Credit' ELSE 'Debit' END AS direction, concat('SHOP P', cast(l_partkey AS varchar), ' SALE') AS description_raw FROM lineitem WHERE l_orderkey % {len(_CARDS)} = {kind}"
+def _spread(items: DataFrame) -> DataFrame:
+    """Dealt by document to all shuffle partitions, which are not joined though documents be small."""
+    return items.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "doc_id")
+
+
+def card_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """One document for each group of orders and each kind of card statement; one line in 37 has no true date."""
+    bad = F.col("part") % 37 == 1
+    lines = []
+    for _, _, day, form, (plus, minus) in _CARDS:
+        date = F.when(bad, F.date_format("day", day.replace("MMM", "'Xyz'").replace("MM", "'99'"))).otherwise(F.date_format("day", day))
+        lines.append(_filled(form, {"date": date, "s": F.col("space"), "text": F.col("shop"), "amount": F.format_number("money", 2), "cr": F.when(F.col("credit"), plus).otherwise(minus)}))
+    items = _items(spark, sf, len(_CARDS)).select("kind", "doc_id", F.struct("k", "n", _by_kind(lines).alias("line")).alias("l"))
+    body = _spread(items).groupBy("kind", "doc_id").agg(F.array_sort(F.collect_list("l")).alias("body"))
+    head = _by_kind([F.lit(head) for _, head, *_ in _CARDS])
+    return body.select("doc_id", F.concat(head, F.lit("\nCustomer relations\n"), F.array_join(F.transform("body", lambda x: x["line"]), "\n"), F.lit("\nTotal due")).alias("full_text"))
 
 
-@query(" UNION ALL ".join(_card_sql(i, x) for i, x in enumerate(_CARDS)))
+def _cards(spark: SparkSession, sf: str) -> DataFrame:
+    return keeper(spark)(statements.detect_issuer(card_documents(spark, sf)), "cards")
+
+
+_CARD_ITEMS = f"WITH items AS (SELECT {_ITEM.format(kinds=len(_CARDS), orders=ORDERS)} FROM lineitem), named AS (SELECT *, {_case('kind', [c[0] for c in _CARDS])} AS issuer FROM items) "
+
+
+@query(_CARD_ITEMS + f"SELECT doc_id, issuer, value_date, amount, CASE WHEN credit OR kind IN {_WORDED} AND part % 40 = 0 THEN 'Credit' ELSE 'Debit' END AS direction, shop AS description_raw FROM named WHERE part % 37 <> 1")
 def read_cards(spark: SparkSession, sf: str) -> DataFrame:
-    docs = keeper(spark)(statements.detect_issuer(card_documents(spark, sf)), "cards")
-    out = None
-    for issuer in _CARDS:
-        rows = statements.read_card(docs.where(F.col("issuer") == issuer), issuer).where("errored_line is null")
-        rows = rows.select("doc_id", F.lit(issuer).alias("issuer"), "value_date", F.col("amount").cast("double").alias("amount"), "direction", "description_raw")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return statements.read_cards(_cards(spark, sf)).where("errored_line is null").select("doc_id", "issuer", "value_date", F.col("amount").cast("double").alias("amount"), "direction", "description_raw")
+
+
+@query(_CARD_ITEMS + "SELECT doc_id, issuer, count(*) AS lines, count(*) AS tell_the_shop FROM named WHERE part % 37 = 1 GROUP BY 1, 2")
+def errored_card_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with the shape of a row and no true date, by document; each holds its wording."""
+    bad = statements.read_cards(_cards(spark, sf)).where("errored_line is not null and amount is null and value_date is null")
+    return bad.groupBy("doc_id", "issuer").agg(F.count("*").alias("lines"), F.count(F.when(F.col("errored_line").rlike("(SHOP|CASHBACK) P[0-9]+ SALE"), 1)).alias("tell_the_shop"))
+
+
+_CARD_ENDS = _case("kind", ["2024-01-31"] * 6 + ["2024-03-31"])
+
+
+@query(
+    _CARD_ITEMS + f"SELECT doc_id, issuer, count(*) FILTER (WHERE part % 37 <> 1) AS n_rows, count(*) FILTER (WHERE part % 37 = 1) AS n_errored, CASE WHEN kind IN (0, 3) THEN NULL ELSE DATE '2024-01-01' END AS period_start, "
+    f"cast({_CARD_ENDS} AS DATE) AS period_end, cast(1000 + kind AS varchar) AS card_last4, CASE WHEN kind IN (2, 3) THEN 1234.5 END AS printed_total_debits, CASE WHEN kind IN (2, 3) THEN 200.25 END AS printed_total_credits FROM named GROUP BY ALL"
+)
+def card_statements(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole card statements: numbers of rows and errored lines, period, last digits and totals."""
+    out = statements.read_statements(_cards(spark, sf))
+    return out.select("doc_id", "issuer", F.size("rows").cast("long").alias("n_rows"), F.size("errored_lines").cast("long").alias("n_errored"), "period_start", "period_end", "card_last4", *(c.alias(n) for n, c in _double("printed_total_debits", "printed_total_credits").items()))
+
+
+@query(ORACLE_SQL["read_cards"])
+def streamed_cards(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of read_cards from a stream of documents."""
+    keep = keeper(spark)
+    docs = keep(card_documents(spark, sf), "arriving")
+    place = docs.inputFiles()[0].rsplit("/", 2)[0]
+    stream.drain(stream.card_rows(stream.document_stream(spark, f"{place}/arriving")), f"{place}/rows", f"{place}/state")
+    rows = spark.read.parquet(f"{place}/rows")
+    return rows.select("doc_id", "issuer", "value_date", F.col("amount").cast("double").alias("amount"), "direction", "description_raw")
 
 
 _OPENING = 2_000_000_000
-_LEDGERS = {
-    "ICICI_BANK": ("ICICI Statement of Transactions in Saving Account\nOpening Balance {open}", "dd.MM.yyyy", "{n} {date} {amount} {balance}"),
-    "HDFC_BANK": ("HDFC WithdrawalAmt\nOpening Balance : {open}", "dd/MM/yy", "{date} X ABC123456 {date} {amount} {balance}"),
-    "FEDERAL_BANK": ("Federal Bank Statement of Account\nOpening Balance {open}", "dd-MMM-yyyy", "{date} {date} TFR S123 {amount} {balance} Cr"),
-    "AU_BANK": ("aubank.in Savings Account\nOpening Balance (Rs) : {open}", "dd MMM yyyy", "{date} {date} {out} {in} {balance}"),
-}
-_INLINE = {"ICICI_BANK": "", "HDFC_BANK": "X ", "FEDERAL_BANK": "TFR ", "AU_BANK": ""}
+#: issuer, head, date format, line, and what a column without an amount holds.
+_LEDGERS = (
+    ("ICICI_BANK", "ICICI Statement of Transactions in Saving Account\nJanuary 1, 2024 to January 31, 2024\nAccount Number 000000001100\nOpening Balance {open}", "dd.MM.yyyy", "{n} {date}{s}{amount}{s}{balance}", ""),
+    ("HDFC_BANK", "HDFC WithdrawalAmt\nFrom : 01/01/2024 To : 31/01/2024\nAccount No : 50100001101\nOpening Balance : {open}", "dd/MM/yy", "{date}{s}X{s}ABC123456 {date}{s}{amount} {balance}", ""),
+    ("FEDERAL_BANK", "Federal Bank Statement of Account\nfor the period 2024-01-01 to 2024-01-31\nAccount Number : XXXX1102\nOpening Balance {open}", "dd-MMM-yyyy", "{date}{s}{date}{s}TFR S123 {amount} {balance}{s}Cr", ""),
+    ("AU_BANK", "aubank.in Savings Account\nStatement Period : 01 Jan 2024 to 31 Jan 2024\nAccount Number : 123451103\nOpening Balance (Rs) : {open}", "dd MMM yyyy", "{date} {date}{s}{out}{s}{in} {balance}", "-"),
+    ("HDFC_BANK", "HDFC Savings Account Details\nFrom : 01/01/2024 To : 31/01/2024\nAccount No : 50100001104\nOpening Balance : {open}", "dd/MM/yyyy", "{date}{s}X{s}{out}{s}{in}{s}{balance}", "0.00"),
+    ("FEDERAL_BANK", "Federal Bank Statement of Account\nfor the period of 01/01/2024 to 31/01/2024\nAccount Number : XXXX1105\nOpening Balance {open}", "dd/MM/yyyy", "{date}{s}{date}{s}TFR S123 {out}{s}{in} {balance} Cr", "0"),
+)
+_INLINE = ("", "X ", "TFR ", "", "X ", "TFR ")
 
 
 def ledger_documents(spark: SparkSession, sf: str) -> DataFrame:
-    out = None
-    for i, (issuer, (head, day, form)) in enumerate(_LEDGERS.items()):
-        items = _items(spark, sf, i, len(_LEDGERS))
-        order = Window.partitionBy("doc").orderBy("k", "n", "shop", "money")
-        signed = F.when(F.col("credit"), F.col("money")).otherwise(-F.col("money"))
-        items = items.withColumns({"balance": F.sum(signed).over(order.rowsBetween(Window.unboundedPreceding, 0)) + _OPENING, "place": F.row_number().over(order)})
+    order = Window.partitionBy("kind", "doc_id").orderBy("k", "n", "shop", "money")
+    signed = F.when(F.col("credit"), F.col("money")).otherwise(-F.col("money"))
+    items = _spread(_items(spark, sf, len(_LEDGERS))).withColumns({"balance": F.sum(signed).over(order.rowsBetween(Window.unboundedPreceding, 0)) + _OPENING, "place": F.row_number().over(order)})
+    lines = []
+    for _, _, day, form, none in _LEDGERS:
         date, amount = F.date_format("day", day), F.format_number("money", 2)
-        anchor = _filled(form, {"n": F.pmod("place", F.lit(9999)).cast("string"), "date": date, "amount": amount, "balance": F.format_number("balance", 2), "out": F.when(F.col("credit"), "-").otherwise(amount), "in": F.when(F.col("credit"), amount).otherwise("-")})
-        # The narration stands on the line above its anchor and on the line below.
-        line = F.concat_ws("\n", F.col("shop"), anchor, F.lit("BRANCH"))
-        body = items.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("body"))
-        text = F.concat(F.lit(head.format(open=f"{_OPENING:,}.00") + "\n"), F.array_join(F.transform("body", lambda x: x["line"]), "\n"))
-        docs = body.select(F.concat("doc", F.lit(f"-{issuer}")).alias("doc_id"), text.alias("full_text"))
-        out = docs if out is None else out.unionByName(docs)
-    return out
+        anchor = _filled(form, {"n": F.pmod("place", F.lit(9999)).cast("string"), "date": date, "s": F.col("space"), "amount": amount, "balance": F.format_number("balance", 2), "out": F.when(F.col("credit"), none).otherwise(amount), "in": F.when(F.col("credit"), amount).otherwise(none)})
+        # The narration stands on the line above its anchor and on the line below, a blank line after it.
+        lines.append(F.concat_ws("\n", F.concat(F.lit("  "), F.col("shop"), F.col("space")), F.concat(anchor, F.lit("\r")), F.concat(F.col("space"), F.lit("BRANCH\r")), F.col("space")))
+    items = items.select("kind", "doc_id", F.struct("place", _by_kind(lines).alias("line")).alias("l"))
+    body = items.groupBy("kind", "doc_id").agg(F.array_sort(F.collect_list("l")).alias("body"))
+    head = _by_kind([F.lit(head.format(open=f"{_OPENING:,}.00") + "\n") for _, head, *_ in _LEDGERS])
+    return body.select("doc_id", F.concat(head, F.array_join(F.transform("body", lambda x: x["line"]), "\n")).alias("full_text"))
 
 
-def _ledger_sql(kind: int, issuer: str) -> str:
-    return (
-        f"SELECT concat('k{kind}-', cast(l_orderkey // {ORDERS} AS varchar), '-{issuer}') AS doc_id, CAST(l_shipdate AS DATE) AS value_date, round(l_extendedprice, 2) AS amount, CASE WHEN l_returnflag = 'R' THEN 'Credit' ELSE 'Debit' END AS direction, "
-        f"concat('{_INLINE[issuer]}', 'SHOP P', cast(l_partkey AS varchar), ' SALE BRANCH') AS description_raw, true AS amount_matches_delta FROM lineitem WHERE l_orderkey % {len(_LEDGERS)} = {kind}"
-    )
+def _ledgers(spark: SparkSession, sf: str) -> DataFrame:
+    return keeper(spark)(statements.detect_issuer(ledger_documents(spark, sf)), "ledgers")
 
 
-def _ledger_rows(docs: DataFrame) -> DataFrame:
-    out = None
-    for issuer in _LEDGERS:
-        rows = statements.read_ledger(docs.where(F.col("issuer") == issuer), issuer)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+_LEDGER_ITEMS = f"WITH items AS (SELECT {_ITEM.format(kinds=len(_LEDGERS), orders=ORDERS)} FROM lineitem), named AS (SELECT *, {_case('kind', [c[0] for c in _LEDGERS])} AS issuer, {_case('kind', _INLINE)} AS inline FROM items) "
 
 
-@query(" UNION ALL ".join(_ledger_sql(i, x) for i, x in enumerate(_LEDGERS)))
+@query(_LEDGER_ITEMS + "SELECT doc_id, issuer, value_date, amount, CASE WHEN credit THEN 'Credit' ELSE 'Debit' END AS direction, concat(inline, shop, ' BRANCH') AS description_raw, true AS amount_matches_delta FROM named")
 def read_ledgers(spark: SparkSession, sf: str) -> DataFrame:
-    docs = keeper(spark)(statements.detect_issuer(ledger_documents(spark, sf)), "ledgers")
-    return _ledger_rows(docs).select("doc_id", "value_date", F.col("amount").cast("double").alias("amount"), "direction", "description_raw", "amount_matches_delta")
+    return statements.read_ledgers(_ledgers(spark, sf)).where("errored_line is null").select("doc_id", "issuer", "value_date", F.col("amount").cast("double").alias("amount"), "direction", "description_raw", "amount_matches_delta")
+
+
+@query(
+    _LEDGER_ITEMS + f"SELECT doc_id, issuer, count(*) AS n_rows, DATE '2024-01-01' AS period_start, DATE '2024-01-31' AS period_end, cast(1100 + kind AS varchar) AS card_last4, {_OPENING}.0 AS printed_opening_balance, "
+    f"{_OPENING} + round(sum(CASE WHEN credit THEN amount ELSE -amount END), 2) AS printed_closing_balance, 0 AS suspects FROM named GROUP BY ALL"
+)
+def ledger_statements(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole ledgers: number of rows, period, last digits and balances."""
+    out = statements.read_statements(_ledgers(spark, sf))
+    suspects = F.size(F.filter("rows", lambda r: r["ledger"]["is_suspect"]))
+    return out.select("doc_id", "issuer", F.size("rows").cast("long").alias("n_rows"), "period_start", "period_end", "card_last4", *(F.round(c, 2).alias(n) for n, c in _double("printed_opening_balance", "printed_closing_balance").items()), suspects.alias("suspects"))
+
+
+@query(
+    "SELECT concat('f', c_custkey) AS doc_id, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 1 THEN 'Credit' ELSE 'Debit' END AS direction, CASE WHEN c_custkey % 3 = 0 THEN 'ROW1_X_POSITION' ELSE 'ROW1_PROVISIONAL' END AS direction_source, "
+    "CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 1 THEN 1000.0 - 100 - c_custkey % 50 ELSE 1000.0 + 100 + c_custkey % 50 END AS opening, 900.0 AS closing, DATE '2024-01-06' AS period_end, 'NEEDS_REVIEW' AS status, 0 AS suspect_count FROM customer"
+)
+def ledger_first_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Ledgers of two rows without an opening balance: the first direction by place where words have one, else provisional."""
+    key = F.col("c_custkey")
+    df = spark.read.parquet(f"{sf}/customer.parquet")
+    money = F.format_number(100 + key % 50, 2)
+    docs = df.select(F.concat(F.lit("f"), key.cast("string")).alias("doc_id"), F.concat(F.lit("ICICI Statement of Transactions in Saving Account\n1 05.01.2024 "), money, F.lit(" 1,000.00\nTO SHOP\n2 06.01.2024 100.00 900.00")).alias("full_text"), "c_custkey")
+    left = F.when(key % 2 == 1, 420.0).otherwise(350.0)
+    word = lambda text, x0: F.struct(text.alias("text"), x0.alias("x0"), (x0 + 40).alias("x1"))
+    words = docs.where(key % 3 == 0).select("doc_id", F.array(word(F.lit("05.01.2024"), F.lit(50.0)), word(money, left), word(F.lit("1,000.00"), F.lit(500.0))).alias("words"))
+    read = keeper(spark)(statements.period_end(statements.read_statements(statements.detect_issuer(docs), words)), "first_rows")
+    rows = read.select("doc_id", F.explode("rows").alias("r")).select("doc_id", "r.line_index", "r.amount", "r.ledger.balance", "r.ledger.direction_source", "r.ledger.serial", F.col("r.direction"))
+    chain = checks.balance_chain(read, rows)
+    first = read.select("doc_id", "period_end", F.col("rows")[0]["direction"].alias("direction"), F.col("rows")[0]["ledger"]["direction_source"].alias("direction_source"), F.col("printed_opening_balance").cast("double").alias("opening"), F.col("printed_closing_balance").cast("double").alias("closing"))
+    return first.join(chain.select("doc_id", "status", F.col("suspect_count").cast("int").alias("suspect_count")), "doc_id")
 
 
 @query(
     "WITH items AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS place FROM (SELECT l_orderkey // 60 AS g, * FROM lineitem)) "
     "SELECT concat('d', cast(g AS varchar)) AS doc_id, count(*) AS checked_rows, count(*) FILTER (WHERE place % 7 = 0) + count(*) FILTER (WHERE place % 10 = 0 AND place % 7 <> 0) AS suspect_count, "
-    "CASE WHEN count(*) FILTER (WHERE place % 7 = 0 OR place % 10 = 0) = 0 THEN 'RECONCILED' ELSE 'NEEDS_REVIEW' END AS status, least(20, count(*) FILTER (WHERE place % 7 = 0 OR place % 10 = 0)) AS listed FROM items GROUP BY g"
+    "CASE WHEN count(*) FILTER (WHERE place % 7 = 0 OR place % 10 = 0) = 0 THEN 'RECONCILED' ELSE 'NEEDS_REVIEW' END AS status, least(20, count(*) FILTER (WHERE place % 7 = 0 OR place % 10 = 0)) AS listed, min(place) FILTER (WHERE place % 7 = 0 OR place % 10 = 0) AS first_suspect, max(CASE WHEN place = 7 THEN 'missing running balance' END) AS first_reason FROM items GROUP BY g"
 )
 def balance_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Ledgers in which each seventh balance is missing and each tenth amount is misprinted."""
@@ -657,22 +788,29 @@ def balance_chain(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.withColumns({"balance": F.when(~gone, total).cast(MONEY), "printed": printed.cast(MONEY), "direction_source": F.lit("BALANCE_DELTA")})
     rows = rows.select("doc_id", "line_index", F.col("printed").alias("amount"), "balance", "direction_source")
     heads = rows.select("doc_id").distinct().withColumn("printed_opening_balance", F.lit(0).cast(MONEY))
-    return checks.balance_chain(heads, rows).select("doc_id", "checked_rows", "suspect_count", "status", F.size("suspects").cast("long").alias("listed"))
+    return checks.balance_chain(heads, rows).select("doc_id", "checked_rows", "suspect_count", "status", F.size("suspects").cast("long").alias("listed"), F.get("suspects", F.lit(0))["row"].cast("long").alias("first_suspect"), F.get("suspects", F.lit(0))["reason"].alias("first_reason"))
 
 
 @query(
-    "WITH sums AS (SELECT o_custkey AS c, sum(cast(round(o_totalprice, 2) AS decimal(18, 2))) FILTER (WHERE o_orderstatus <> 'O') AS d, sum(cast(round(o_totalprice, 2) AS decimal(18, 2))) FILTER (WHERE o_orderstatus = 'O') AS cr FROM orders GROUP BY 1) "
-    "SELECT concat('d', cast(c AS varchar)) AS doc_id, CASE WHEN c % 3 = 0 THEN 'RECONCILED' WHEN c % 3 = 1 THEN 'NEEDS_REVIEW' END AS status, cast(coalesce(d, 0) AS double) AS read_debits, cast(coalesce(cr, 0) AS double) AS read_credits FROM sums"
+    "WITH sums AS (SELECT o_custkey AS c, coalesce(sum(cast(round(o_totalprice, 2) AS decimal(18, 2))) FILTER (WHERE o_orderstatus <> 'O'), 0) AS d, coalesce(sum(cast(round(o_totalprice, 2) AS decimal(18, 2))) FILTER (WHERE o_orderstatus = 'O'), 0) AS cr FROM orders GROUP BY 1) "
+    "SELECT concat('d', cast(c AS varchar)) AS doc_id, CASE WHEN c % 10 IN (0, 5, 2, 7, 3) THEN 'RECONCILED' WHEN c % 5 <> 4 THEN 'NEEDS_REVIEW' END AS status, cast(d AS double) AS read_debits, cast(cr AS double) AS read_credits, "
+    "cast(CASE c % 5 WHEN 0 THEN d + 1 WHEN 1 THEN d + 2 END AS double) AS printed_debits, cast(CASE c % 5 WHEN 0 THEN cr WHEN 2 THEN cr - 1 END AS double) AS printed_credits, "
+    "cast(CASE c % 10 WHEN 3 THEN d - cr + 1 WHEN 8 THEN d - cr + 1.01 END AS double) AS expected_balance_change, CASE WHEN c % 5 = 4 THEN 'no printed totals extracted' END AS reason FROM sums"
 )
 def reconcile(spark: SparkSession, sf: str) -> DataFrame:
-    """Card statements whose printed totals are right, off by two, or missing."""
+    """Card statements whose printed totals are right or not, by debits, credits or both, by balance, or missing."""
     df = spark.read.parquet(f"{sf}/orders.parquet")
     rows = df.select(F.concat(F.lit("d"), F.col("o_custkey").cast("string")).alias("doc_id"), "o_custkey", F.col("o_totalprice").cast("decimal(18,2)").cast(MONEY).alias("amount"), F.when(F.col("o_orderstatus") == "O", CREDIT).otherwise(DEBIT).alias("direction"))
-    right = F.coalesce(F.sum(F.when(F.col("direction") == DEBIT, F.col("amount"))), F.lit(0))
-    heads = rows.groupBy("doc_id", "o_custkey").agg(right.alias("d"))
-    printed = F.when(F.col("o_custkey") % 3 == 0, F.col("d") + 1).when(F.col("o_custkey") % 3 == 1, F.col("d") + 2).cast(MONEY)
-    heads = heads.select("doc_id", printed.alias("printed_total_debits"), *(F.lit(None).cast(MONEY).alias(c) for c in ("printed_total_credits", "printed_opening_balance", "printed_closing_balance")))
-    return checks.reconcile(heads, rows).select("doc_id", "status", *(c.alias(n) for n, c in _double("read_debits", "read_credits").items()))
+    total = {d: F.coalesce(F.sum(F.when(F.col("direction") == d, F.col("amount"))), F.lit(0)).cast(MONEY) for d in (DEBIT, CREDIT)}
+    heads = rows.groupBy("doc_id", "o_custkey").agg(total[DEBIT].alias("d"), total[CREDIT].alias("c"))
+    five, ten, d, c = F.col("o_custkey") % 5, F.col("o_custkey") % 10, F.col("d"), F.col("c")
+    printed = {
+        "printed_total_debits": F.when(five == 0, d + 1).when(five == 1, d + 2), "printed_total_credits": F.when(five == 0, c).when(five == 2, c - 1),
+        "printed_opening_balance": F.when(five == 3, 50), "printed_closing_balance": F.when(ten == 3, d - c + 51).when(ten == 8, d - c + F.lit("51.01").cast(MONEY)),
+    }
+    heads = heads.select("doc_id", *(x.cast(MONEY).alias(n) for n, x in printed.items()))
+    money = ("read_debits", "read_credits", "printed_debits", "printed_credits", "expected_balance_change")
+    return checks.reconcile(heads, rows).select("doc_id", "status", "reason", *(x.alias(n) for n, x in _double(*money).items()))
 
 
 @query("SELECT concat('p', cast(l_orderkey AS varchar)) AS doc_id, count(*) AS n_rows, string_agg(concat(cast(l_linenumber AS varchar), ' P', cast(l_partkey AS varchar)), '|' ORDER BY l_linenumber, l_partkey) AS text FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem) GROUP BY 1")

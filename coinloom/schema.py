@@ -33,11 +33,22 @@ TABLES = {
     "merchant_memory": "merchant_portion string, category_id string",
 }
 
-#: Columns of transactions by the schema version that brought them; the others are of version 1.
-ADDED_COLUMNS = {"source_category": 2, "is_transfer": 3, "transfer_group_id": 3, "superseded_by": 4, "dedup_layer": 4, "statement_id": 5}
-ACCOUNT_COLUMNS = {"last4": 6}
+#: Columns that an earlier schema version lacks, by the version that brought them; the others are of version 1.
+ADDED_COLUMNS = {
+    "transactions": {"source_category": 2, "is_transfer": 3, "transfer_group_id": 3, "superseded_by": 4, "dedup_layer": 4, "statement_id": 5},
+    "accounts": {"last4": 6},
+}
 SCHEMA_VERSION = 8
 
+#: Values that a column may hold besides null.
+ENUMERATIONS = {
+    "transactions": {"direction": (DEBIT, CREDIT), "categorised_by": (PERSON, PERSON_MEMORY, TRANSFER_DETECTOR, *STAGES), "dedup_layer": (CANONICAL, FUZZY)},
+    "merchant_map": {"match_type": ("LITERAL", "REGEX")},
+    "rules": {"match_type": ("KEYWORD", "REGEX", "AMOUNT_RANGE")},
+    "statements": {"source": (STATEMENT, ALERT)},
+    "categories": {"classification": ("SPEND", "INCOME", "TRANSFER", "INVESTMENT", "CC_PAYMENT", "REFUND")},
+}
+
 #: The default categories.
 DEFAULT_CATEGORIES = (
     ("FOOD_AND_DINING", "Food & Dining", "SPEND"),
@@ -93,12 +104,24 @@ def signed_amount(amount: str = "amount", direction: str = "direction") -> Colum
     return F.when(F.col(direction) == DEBIT, -F.col(amount)).otherwise(F.col(amount))
 
 
+def violations(table: DataFrame, name: str) -> DataFrame:
+    """column, value and number of rows of values that the column may not hold."""
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.when(~F.col(c).isin(*allowed), F.col(c)).alias("value")) for c, allowed in ENUMERATIONS.get(name, {}).items()))
+    bad = table.select(F.explode(cells.cast("array<struct<column:string,value:string>>")).alias("x")).where("x.value is not null")
+    return bad.groupBy(F.col("x.column").alias("column"), F.col("x.value").alias("value")).agg(F.count("*").alias("n"))
+
+
+def version_of(columns: list[str], name: str) -> int:
+    """The schema version that a table with these columns was written by, at least."""
+    return max((v for c, v in ADDED_COLUMNS.get(name, {}).items() if c in columns), default=1)
+
+
 def migrate(table: DataFrame, name: str) -> DataFrame:
     """A table of any earlier schema version brought to the present one; doing it again changes nothing."""
-    out = table
-    for field in TABLES[name].split(", "):
-        column, kind = field.split(" ", 1)
-        if column not in out.columns:
+    kinds = dict(field.split(" ", 1) for field in TABLES[name].split(", "))
+    new = {}
+    for column, kind in kinds.items():
+        if column not in table.columns:
             default = F.lit(False) if column in ("is_transfer", "is_deleted") else F.lit(None)
-            out = out.withColumn(column, default.cast(kind))
-    return out.select([f.split(" ")[0] for f in TABLES[name].split(", ")])
+            new[column] = default.cast(kind)
+    return table.withColumns(new).select(list(kinds)) if new else table.select(list(kinds))

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from coinloom.functions import narration as nr
 from coinloom.functions import parsing as ps
-from coinloom.operators import history, matching, memory
+from coinloom.operators import checks, history, matching, memory, transfers
 from coinloom.plans import imports
 from coinloom.plans.queries import keeper
-from coinloom.schema import TABLES, engine_may_decide
+from coinloom.schema import TABLES, engine_may_decide, migrate, version_of
+from coinloom.sources import statements
 from coinloom.sources.store import Store
 
 
@@ -62,8 +63,12 @@ def test_matching_is_first_come_first_served(spark):
         if free:
             taken.add(free[0][1])
             want.add((c, free[0][1]))
-    got = matching.assign(spark.createDataFrame(rows, "claimant long, candidate long, turn long, liking long"), keeper(spark))
-    assert {(r["claimant"], r["candidate"]) for r in got.collect()} == want
+    looks = [(0, c, 1000 + k, sorted(x[3] for x in rows if x[0] == c).index(liking)) for c, k, _, liking in rows]
+    events = [(0, c, c, 1, c, True, False) for c in range(40)] + [(0, 1000 + k, 1000 + k, 0, k, False, True) for k in range(25)]
+    got = matching.in_order(
+        spark.createDataFrame(events, "group long, kind long, number long, epoch long, seq long, claims boolean, serves boolean"), spark.createDataFrame(looks, "group long, kind long, other long, layer int")
+    )
+    assert {(r["claimant"], r["candidate"] - 1000) for r in got.collect()} == want
 
 
 def test_pages_equal_one_sort(spark):
@@ -111,3 +116,99 @@ def test_a_changed_set_is_refused(spark):
     assert (done["category_id"], done["categorised_by"]) == ("EDUCATION", "PERSON_MEMORY")
     with pytest.raises(memory.StaleSet):
         memory.apply_memory(rows, known, "river books", spark.createDataFrame([("t2",)], "id string"))
+
+
+CARD = "YES BANK\n01/01/2024 To 31/01/2024\n"
+
+
+def test_card_rows_keep_what_cannot_be_read(spark):
+    """No-break spaces and tabs part fields; a line with the shape of a row and no true date is kept as it is."""
+    text = CARD + "05/01/2024\u00a0UPI  PAYER\u00a0\u00a01,234.50 Dr\n99/01/2024 BAD DAY 1.00 Cr\n06/01/2024\tREFUND\t2.00\tCr\nTotal due"
+    docs = statements.detect_issuer(spark.createDataFrame([("a", text), ("b", "nothing known"), ("c", None), ("d", CARD)], "doc_id string, full_text string"))
+    rows = [(r["line_index"], r["value_date"], r["amount"], r["direction"], r["description_raw"], r["errored_line"]) for r in statements.read_cards(docs).orderBy("line_index").collect()]
+    assert rows == [
+        (2, date(2024, 1, 5), Decimal("1234.50"), "Debit", "UPI  PAYER", None), (3, None, None, None, None, "99/01/2024 BAD DAY 1.00 Cr"), (4, date(2024, 1, 6), Decimal("2.00"), "Credit", "REFUND", None),
+    ]
+    whole = {r["doc_id"]: r for r in statements.read_statements(docs).collect()}
+    assert set(whole) == {"a", "d"} and whole["a"]["errored_lines"] == ["99/01/2024 BAD DAY 1.00 Cr"] and len(whole["a"]["rows"]) == 2 and whole["d"]["rows"] == []
+    assert whole["a"]["period_end"] == date(2024, 1, 31)
+
+
+def test_long_lines_are_cut(spark):
+    docs = spark.createDataFrame([("a", CARD + f"05/01/2024 {'x' * 500} 1.00 Dr\n99/99/2024 {'y' * 500} 1.00 Dr")], "doc_id string, full_text string")
+    good, bad = statements.read_card(docs, "YES_KIWI_CARD").orderBy("line_index").collect()
+    assert good["description_raw"] == "x" * 240 and len(bad["errored_line"]) == 240
+
+
+def test_first_layout_that_reads_a_row_counts(spark):
+    head = "HDFC Bank Credit Card\n"
+    monthly, yearly, broken = "05/01/2024 | 09:30 SHOP C 1.00", "05-Jan-2024 SHOP 2.00 DR", "99-Jan-2024 SHOP 3.00 DR"
+    docs = spark.createDataFrame([("both", f"{head}{monthly}\n{yearly}"), ("broken", f"{head}{broken}\n{monthly}"), ("none", f"{head}{broken}")], "doc_id string, full_text string")
+    rows = sorted((r["doc_id"], r["amount"], r["errored_line"]) for r in statements.read_card(docs, "HDFC_SWIGGY_CARD").collect())
+    assert rows == [("both", Decimal(2), None), ("broken", Decimal(1), None)]
+
+
+def test_ledger_lines_around_anchors(spark):
+    """A broken anchor is kept as errored and reads as narration; statements of balances belong to no row."""
+    text = (
+        "ICICI Statement of Transactions in Saving Account\nOpening Balance 100.00\n  above one \r\n1 05.01.2024 X 10.00 90.00\r\n\r\n\u00a0below one\t\n2 99.01.2024 Y 5.00 95.00\nClosing Balance 95.00\nabove two\n"
+        "3 06.01.2024 20.00 110.00\nlast"
+    )
+    docs = spark.createDataFrame([("a", text), ("b", "ICICI Statement of Transactions in Saving Account")], "doc_id string, full_text string")
+    rows = statements.read_ledgers(statements.detect_issuer(docs)).orderBy("line_index").collect()
+    assert [(r["line_index"], r["description_raw"], r["direction"], r["balance_delta"], r["is_suspect"], r["errored_line"]) for r in rows] == [
+        (3, "X above one below one 2 99.01.2024 Y 5.00 95.00", "Debit", Decimal(-10), False, None), (6, None, None, None, None, "2 99.01.2024 Y 5.00 95.00"), (9, "above two last", "Credit", Decimal(20), False, None),
+    ]
+    empty = checks.balance_chain(statements.read_statements(statements.detect_issuer(docs)), rows_of(spark)).where("doc_id = 'b'").first()
+    assert (empty["status"], empty["checked_rows"], empty["reason"]) == ("NEEDS_REVIEW", 0, "no parsed transactions")
+
+
+def rows_of(spark):
+    return spark.createDataFrame([], "doc_id string, line_index int, amount decimal(38,10), balance decimal(38,10), direction_source string")
+
+
+def test_corrections_and_memory(spark):
+    rows = spark.createDataFrame([("t1", "UPI-River Books", None, None, False, None), ("t2", "UPI-River Books", None, None, True, None)], "id string, description_raw string, category_id string, categorised_by string, is_deleted boolean, superseded_by string")
+    known = spark.createDataFrame([("river books", "EDUCATION")], TABLES["merchant_memory"])
+    out, mem, portion, formed = memory.set_transaction_category(rows, known, "t1", "SHOPPING", True)
+    assert portion == "river books" and formed and [tuple(r) for r in mem.collect()] == [("river books", "SHOPPING")]
+    assert {(r["id"], r["category_id"], r["categorised_by"]) for r in out.collect()} == {("t1", "SHOPPING", "PERSON"), ("t2", None, None)}
+    out, mem, _, formed = memory.set_transaction_category(rows, known, "t1", None, True)
+    assert not formed and mem.collect() == known.collect() and out.first()["categorised_by"] == "PERSON"
+    with pytest.raises(memory.NotFound):
+        memory.set_transaction_category(rows, known, "t2", "SHOPPING", False)
+
+
+def test_of_two_writers_one_wins(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/store").create()
+    first = store.manifest(1)
+    other = Store(spark, f"file://{tmp_path}/store")
+    monkeypatch.setattr(other, "versions", lambda: [1])
+    store.insert("categories", spark.createDataFrame([("A", "a", "SPEND", False)], TABLES["categories"]))
+    with pytest.raises(RuntimeError, match="someone else"):
+        other.insert("categories", spark.createDataFrame([("B", "b", "SPEND", False)], TABLES["categories"]))
+    assert {r["id"] for r in store.table("categories").where("not is_builtin").collect()} == {"A"}
+    assert store.manifest(2)["accounts"] == first["accounts"] and store.manifest(2)["categories"] != first["categories"]
+    with pytest.raises(ValueError, match="can't be"):
+        store.insert("categories", spark.createDataFrame([("C", "c", "WHATEVER", False)], TABLES["categories"]))
+
+
+def test_earlier_schemas_are_brought_up(spark):
+    old = spark.createDataFrame([("t1", 1)], "id string, txn_seq long")
+    new = migrate(old, "transactions")
+    assert new.columns == [f.split(" ")[0] for f in TABLES["transactions"].split(", ")] and new.first()["is_transfer"] is False
+    assert version_of(old.columns, "transactions") == 1 and version_of(new.columns, "transactions") == 5 and version_of(TABLES["accounts"].split(", "), "accounts") == 1
+    assert migrate(new, "transactions").collect() == new.collect()
+
+
+def test_links_and_transfers_written_twice_change_nothing(spark):
+    day = date(2024, 1, 1)
+    kind = "id string, account_id string, txn_seq long, date date, amount decimal(38,10), direction string, description_raw string, is_credit_card boolean"
+    rows = spark.createDataFrame([("o", "a", 1, day, Decimal(5), "Debit", "x", False), ("i", "b", 2, day, Decimal(5), "Credit", "x", True), ("p", "b", 3, day, Decimal(5), "Credit", "x", True)], kind)
+    stored = migrate(rows, "transactions")
+    pairs = transfers.detect_transfers(rows, keeper(spark))
+    once = transfers.link_transfers(stored, pairs)
+    assert {(r["id"], r["category_id"], r["categorised_by"]) for r in once.collect()} == {("o", "CREDIT_CARD_BILL_PAYMENT", "TRANSFER_DETECTOR"), ("i", "CREDIT_CARD_BILL_PAYMENT", "TRANSFER_DETECTOR"), ("p", None, None)}
+    left = once.where("transfer_group_id is null").select("id").join(rows, "id")
+    assert transfers.detect_transfers(left, keeper(spark)).count() == 0
+    assert transfers.link_transfers(once, pairs).exceptAll(once).count() == 0
