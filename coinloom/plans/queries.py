@@ -125,8 +125,16 @@ def _base(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/orders.parquet").withColumn("copy", F.explode(F.array_compact(copies))).selectExpr("*", *_expr(_BASE))
 
 
-def txns(spark: SparkSession, sf: str) -> DataFrame:
-    return migrate(_base(spark, sf).selectExpr(_expr(TXN)).withColumn("amount", F.col("amount").cast(MONEY)), "transactions")
+def dealt(df: DataFrame) -> DataFrame:
+    """df on all cores where its scan gives fewer partitions, as a small file does; at scale the scan has more and nothing moves."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def txns(spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
+    """wide: for expressions that cost more than a shuffle of the rows."""
+    base = _base(spark, sf)
+    return migrate((dealt(base) if wide else base).selectExpr(_expr(TXN)).withColumn("amount", F.col("amount").cast(MONEY)), "transactions")
 
 
 def accounts(spark: SparkSession, sf: str) -> DataFrame:
@@ -290,7 +298,7 @@ def _portion_sql(x: str) -> str:
 @query(_WITH + f"SELECT id, {_norm_sql('description_raw')} AS norm, left({_norm_sql('description_raw')}, 60) AS prefix FROM txns")
 def normalize_narration(spark: SparkSession, sf: str) -> DataFrame:
     norm = nr.normalize_narration(F.col("description_raw"))
-    return txns(spark, sf).select("id", norm.alias("norm"), nr.prefix60(norm).alias("prefix"))
+    return txns(spark, sf, wide=True).select("id", norm.alias("norm"), nr.prefix60(norm).alias("prefix"))
 
 
 @query(f"SELECT doc_id, md5({_norm_sql('text')}) AS norm_md5 FROM documents")
@@ -300,7 +308,7 @@ def normalize_long_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_WITH + f"SELECT id, {_portion_sql('description_raw')} AS portion FROM txns")
 def merchant_portion(spark: SparkSession, sf: str) -> DataFrame:
-    return txns(spark, sf).select("id", nr.merchant_portion(F.col("description_raw")).alias("portion"))
+    return txns(spark, sf, wide=True).select("id", nr.merchant_portion(F.col("description_raw")).alias("portion"))
 
 
 @query(_WITH + "SELECT id, upper(trim(regexp_replace(description_raw, '\\s+', ' ', 'g'))) AS description, concat(strftime(date, '%Y-%m-%d'), '|', regexp_replace(cast(amount AS varchar), '\\.?0+$', ''), '|', upper(trim(regexp_replace(description_raw, '\\s+', ' ', 'g'))), '|', direction) AS fingerprint FROM txns WHERE amount >= 0.01")
@@ -350,7 +358,7 @@ _FOUND = _KINDS + _linked_sql(
 
 def _bank_and_card(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     of = accounts(spark, sf).select(F.col("id").alias("account_id"), "is_credit_card")
-    rows = txns(spark, sf).where(live()).join(of, "account_id").withColumn("seq", F.col("txn_seq"))
+    rows = txns(spark, sf, wide=True).where(live()).join(of, "account_id").withColumn("seq", F.col("txn_seq"))
     return rows.where("not is_credit_card"), rows.where("is_credit_card")
 
 
@@ -481,7 +489,7 @@ _STAGE = "CASE WHEN t0 IS NOT NULL THEN 'CC_RULE' WHEN t1 IS NOT NULL THEN 'T1_S
 @query(_WITH + _STAGED + f"SELECT id, coalesce(t0, t1, t2, t3) AS category_ref, {_STAGE} AS stage, CASE WHEN t0 IS NULL AND t1 IS NULL AND t2 IS NULL THEN rule END AS matched_rule_id FROM staged")
 def categorize(spark: SparkSession, sf: str) -> DataFrame:
     of = accounts(spark, sf).select(F.col("id").alias("account_id"), "bank_code", "is_credit_card")
-    return cat.categorize(txns(spark, sf).join(of, "account_id"), *_category_facts(spark)).select("id", "category_ref", "stage", "matched_rule_id")
+    return cat.categorize(txns(spark, sf, wide=True).join(of, "account_id"), *_category_facts(spark)).select("id", "category_ref", "stage", "matched_rule_id")
 
 
 _MEMORY = [("river books", "EDUCATION"), ("corner bakery", "FOOD_AND_DINING")]
@@ -508,7 +516,7 @@ def _decided(spark: SparkSession, sf: str) -> DataFrame:
     known = spark.createDataFrame(_MEMORY, TABLES["merchant_memory"])
     merchants, rules, source_map = _category_facts(spark)
     rules = rules.unionByName(spark.createDataFrame([_LOST_RULE], TABLES["rules"]))
-    return cat.categorize_stored(txns(spark, sf), accounts(spark, sf), merchants, rules, source_map, known, _catalog(spark))
+    return cat.categorize_stored(txns(spark, sf, wide=True), accounts(spark, sf), merchants, rules, source_map, known, _catalog(spark))
 
 
 @query(_WITH + _STAGED + f", known AS (SELECT {_REMEMBERED} AS remembered, t0, t1, t2, t3 FROM staged WHERE {_MAY}) SELECT count(*) AS considered, count(coalesce(remembered, t0, t1, t2, t3)) AS categorized, count(*) - count(coalesce(remembered, t0, t1, t2, t3)) AS uncategorized FROM known")
@@ -648,8 +656,8 @@ def card_documents(spark: SparkSession, sf: str) -> DataFrame:
     for _, _, day, form, (plus, minus) in _CARDS:
         date = F.when(bad, F.date_format("day", day.replace("MMM", "'Xyz'").replace("MM", "'99'"))).otherwise(F.date_format("day", day))
         lines.append(_filled(form, {"date": date, "s": F.col("space"), "text": F.col("shop"), "amount": F.format_number("money", 2), "cr": F.when(F.col("credit"), plus).otherwise(minus)}))
-    items = _items(spark, sf, len(_CARDS)).select("kind", "doc_id", F.struct("k", "n", _by_kind(lines).alias("line")).alias("l"))
-    body = _spread(items).groupBy("kind", "doc_id").agg(F.array_sort(F.collect_list("l")).alias("body"))
+    items = _spread(_items(spark, sf, len(_CARDS))).select("kind", "doc_id", F.struct("k", "n", _by_kind(lines).alias("line")).alias("l"))
+    body = items.groupBy("kind", "doc_id").agg(F.array_sort(F.collect_list("l")).alias("body"))
     head = _by_kind([F.lit(head) for _, head, *_ in _CARDS])
     return body.select("doc_id", F.concat(head, F.lit("\nCustomer relations\n"), F.array_join(F.transform("body", lambda x: x["line"]), "\n"), F.lit("\nTotal due")).alias("full_text"))
 
