@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, fingerprint, language, minhash, packing, pii, quality, sentencepieces, sharding, token_files, tokens
-from .common import Scratch, documents, held_out
+from . import embedding, fingerprint, language, merkle, minhash, packing, pii, prefix_trie, quality, sentencepieces, sharding, token_files, tokens, word_bpe
+from . import sql
+from .common import Scratch, documents, held_out, tune
 
 SHARDS = 16
 
@@ -64,9 +65,28 @@ def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Scratch(spark))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    scratch = Scratch(spark)
+    own = scratch.table(prefix_trie.turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "turns")
+    takes = F.crc32(F.col("conv_id").cast("string").cast("binary")) % (sql.TAKES_AT_MOST + 1)
+    ids, rebuilt = prefix_trie.rebuilt(own, sql.TAKES_FROM, takes, sql.TAKES_AT_MOST)
+    return prefix_trie.trie(scratch.table(ids, "ids"), scratch.table(rebuilt, "rebuilt"), scratch)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(documents(spark, sf_dir), Scratch(spark), merkle.tampered())
+
+
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = word_bpe.default_path()
+    done = word_bpe.decode(word_bpe.encode(documents(spark, sf_dir), path), path)
+    return done.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii, op2_sharding, op3_quality, op4_token_files, op5_fingerprint, op6_language, op7_sentencepiece, op8_near_duplicates, op9_packing, op10_embedding)
+    for f in (op1_pii, op2_sharding, op3_quality, op4_token_files, op5_fingerprint, op6_language, op7_sentencepiece, op8_near_duplicates, op9_packing, op10_embedding, op11_prefix_trie, op12_merkle, op13_word_bpe)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_prefix_trie": sql.prefix_trie(), "op12_merkle": sql.merkle()}

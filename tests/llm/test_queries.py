@@ -23,6 +23,9 @@ COLUMNS = {
     "op8_near_duplicates": ["doc_id", "n_shingles", "component_id", "kept"],
     "op9_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
     "op10_embedding": ["vec_id", "n_links", "component_id", "kept"],
+    "op11_prefix_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+    "op12_merkle": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+    "op13_word_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
 }
 
 
@@ -50,6 +53,8 @@ def test_columns_and_rows(results, sf_dir, table, name):
     if name == "op10_embedding":
         ids = [i for (i,) in duckdb.sql(f"SELECT vec_id FROM '{sf_dir}/embeddings.parquet'").fetchall()]
         assert sorted(r["vec_id"] for r in rows) == sorted(ids)
+    elif name == "op11_prefix_trie":
+        assert len({(r["conv_id"], r["depth"]) for r in rows}) == len(rows) and sum(r["parent_conv_id"] is None for r in rows) == 1
     elif name == "op9_packing":
         assert {r["doc_id"] for r in rows} == {i for i, _ in table}
     else:
@@ -92,6 +97,35 @@ def test_sentencepiece_ids_equal_the_library(results, table):
         assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
+def test_word_bpe_equals_the_library(results, table):
+    import hashlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from coinloom.llm import word_bpe
+
+    library = Tokenizer.from_file(word_bpe.default_path())
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in results("op13_word_bpe")}
+    for i, text in table:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert got[i] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_sql_says_the_same(results, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    said = con.sql(queries.ORACLE_SQL[name])
+    rows = results(name)
+    columns = sorted(said.columns)
+    at = [said.columns.index(c) for c in columns]
+    assert sorted([tuple(r[c] for c in columns) for r in rows], key=str) == sorted([tuple(r[i] for i in at) for r in said.fetchall()], key=str)
+    assert sorted(rows[0].asDict()) == columns
+
+
 def test_near_duplicates_equal_brute_force(results, table):
     assert SHINGLE == 2
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in results("op8_near_duplicates")) == sorted(brute(table))
