@@ -50,10 +50,10 @@ _BASE = {
     ),
     #: Echoes come on the day, a day later or two; so do transfer legs.
     "day": (
-        "cast(o_orderkey % 700 + CASE copy WHEN 1 THEN CASE o_orderkey % 30 WHEN 6 THEN 1 WHEN 18 THEN 2 ELSE 0 END "
+        "cast(CASE WHEN o_orderkey % 25 = 0 THEN floor(o_orderkey / 25) % 700 ELSE o_orderkey % 700 END + CASE copy WHEN 1 THEN CASE o_orderkey % 30 WHEN 6 THEN 1 WHEN 18 THEN 2 ELSE 0 END "
         "WHEN 3 THEN CASE o_orderkey % 30 WHEN 17 THEN 1 WHEN 27 THEN 2 ELSE 0 END ELSE 0 END as int)"
     ),
-    #: Each 25th order has one of few equal amounts and wordings, so that many rows compete.
+    #: Each 25th order has one of few equal amounts and wordings, on every day, so that many rows compete.
     "cents": (
         "CASE WHEN o_orderkey % 25 = 0 THEN 9900 ELSE cast(round(o_totalprice * 100) as bigint) % 3000000 END "
         "+ CASE WHEN copy = 3 THEN CASE o_orderkey % 40 WHEN 17 THEN 50 WHEN 27 THEN 100 WHEN 37 THEN 101 ELSE 0 END ELSE 0 END"
