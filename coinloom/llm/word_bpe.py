@@ -34,8 +34,8 @@ from .common import give_back
 
 #: Longer documents, in characters, are cut into chunks of about CHUNK.
 GIANT, CHUNK = 131_072, 32_768
-#: Pieces, and fragments, that a worker remembers with their ids; longer ones than REMEMBERED_CHARS are not.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 40
+#: Pieces, and fragments, that a worker remembers with their ids (about 25 MB each); longer ones than REMEMBERED_CHARS are not.
+REMEMBERED, REMEMBERED_CHARS = 120_000, 24
 #: Runs between the kinds of white space that every part of the tokenizer drops.
 _PIECE = re.compile("[^ \t\n\r\x0b\x0c]+")
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]")
@@ -70,8 +70,6 @@ class Codec:
         self.words = library.pre_tokenizer.pre_tokenize_str
         self.added = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         self.added_at = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        size = max(library.get_vocab().values()) + 1
-        self.names = [library.id_to_token(i) or "" for i in range(size)]
         bare = [t.removesuffix(END_MARK) for t in library.get_vocab(with_added_tokens=False)]
         #: Pairs of byte letters that some token holds side by side; any other pair is a certain cut.
         self.inside = {t[i : i + 2] for t in bare for i in range(len(t) - 1)}
@@ -130,6 +128,9 @@ class Codec:
         return got
 
     def word(self, word: str) -> bytes:
+        got = self.fragments.get(word + _WORD_END)  # a fragment has no cut in it, so this is a word without one
+        if got is not None:
+            return got
         parts = self.cut(word)
         if len(parts) == 1:
             return self.fragment(word, True)
@@ -210,6 +211,26 @@ class Codec:
         if held:
             yield "".join(held), True
 
+
+class Names:
+    """The tokens of a file by id: all that decoding needs, so the library isn't kept."""
+
+    _made: dict[str, Names] = {}
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        if library.decoder is not None:
+            raise ValueError("a tokenizer without a decoder is needed")
+        self.names = [library.id_to_token(i) or "" for i in range(max(library.get_vocab().values()) + 1)]
+
+    @classmethod
+    def of(cls, path: str) -> Names:
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
+
     def decode(self, ids: list[int]) -> str:
         """The tokens with a space between each two, as the library's decode without a decoder; unknown ids are left out."""
         names = self.names
@@ -288,13 +309,13 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        codec = Codec.of(path)
+        names = Names.of(path)
         for batch in batches:
             lists = batch.column(len(others))
             texts, sizes, digests = [], [], []
             for row in lists:
                 own = row.values.to_numpy(zero_copy_only=False) if row.is_valid else np.zeros(0, np.int32)
-                texts.append(codec.decode(own.tolist()))
+                texts.append(names.decode(own.tolist()))
                 sizes.append(len(own))
                 digests.append(hashlib.sha256(np.ascontiguousarray(own, dtype="<u4").tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays(
