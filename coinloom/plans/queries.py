@@ -55,7 +55,7 @@ _BASE = {
     ),
     #: Each 25th order has one of few equal amounts and wordings, on every day, so that many rows compete.
     "cents": (
-        "CASE WHEN o_orderkey % 25 = 0 THEN 9900 ELSE cast(round(o_totalprice * 100) as bigint) % 3000000 END "
+        "CASE WHEN o_orderkey % 25 = 0 THEN 9900 WHEN o_orderkey % 509 = 0 THEN 0 ELSE cast(round(o_totalprice * 100) as bigint) % 3000000 END "
         "+ CASE WHEN copy = 3 THEN CASE o_orderkey % 40 WHEN 17 THEN 50 WHEN 27 THEN 100 WHEN 37 THEN 101 ELSE 0 END ELSE 0 END"
     ),
     "shop": (
@@ -145,23 +145,33 @@ def statement_table(spark: SparkSession, sf: str) -> DataFrame:
     return migrate(_base(spark, sf).selectExpr(_expr(STATEMENT_OF)).distinct(), "statements")
 
 
-def keeper(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
-    """Writes tables to the shared folder of spark.checkpoint.dir, to cut lineage."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
+class Keeper:
+    """Writes tables to the shared folder of spark.checkpoint.dir, to cut lineage; drop deletes those that no later step reads."""
 
-        base = f"file://{tempfile.mkdtemp(prefix='coinloom-')}"
-        spark.sparkContext.setCheckpointDir(base)
-    root = f"{base}/kept-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession):
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            import tempfile
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+            base = f"file://{tempfile.mkdtemp(prefix='coinloom-')}"
+            spark.sparkContext.setCheckpointDir(base)
+        self.spark, self.root = spark, f"{base}/kept-{uuid.uuid4().hex}"
 
-    return keep
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(conf).delete(path, True)
+
+
+def keeper(spark: SparkSession) -> Keeper:
+    return Keeper(spark)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -248,9 +258,10 @@ def history_clamped_page(spark: SparkSession, sf: str) -> DataFrame:
     return history.page(_history(spark, sf, True), 1000).rows.select(*_SHOWN)
 
 
-@query(_WITH + "SELECT date, count(*) AS n, string_agg(id, ',' ORDER BY account_seq, txn_seq) AS ids FROM (SELECT l.*, a.account_seq FROM live l JOIN accounts a ON a.id = l.account_id) GROUP BY date")
+@query(_WITH + f"SELECT date, count(*) AS n, string_agg(id, ',' ORDER BY account_seq, txn_seq) AS ids FROM ({_ROWS} {_ORDER} LIMIT 200) GROUP BY date")
 def history_by_date(spark: SparkSession, sf: str) -> DataFrame:
-    return history.by_date(_history(spark, sf)).withColumn("ids", F.array_join("ids", ","))
+    """A page, by date."""
+    return history.by_date(history.page(_history(spark, sf), 200).rows).withColumn("ids", F.array_join("ids", ","))
 
 
 @query(_WITH + "SELECT account_id, cast(sum(CASE WHEN direction = 'Debit' THEN -amount ELSE amount END) AS double) AS net FROM live GROUP BY account_id")
@@ -311,10 +322,10 @@ def merchant_portion(spark: SparkSession, sf: str) -> DataFrame:
     return txns(spark, sf, wide=True).select("id", nr.merchant_portion(F.col("description_raw")).alias("portion"))
 
 
-@query(_WITH + "SELECT id, upper(trim(regexp_replace(description_raw, '\\s+', ' ', 'g'))) AS description, concat(strftime(date, '%Y-%m-%d'), '|', regexp_replace(cast(amount AS varchar), '\\.?0+$', ''), '|', upper(trim(regexp_replace(description_raw, '\\s+', ' ', 'g'))), '|', direction) AS fingerprint FROM txns WHERE amount >= 0.01")
+@query(_WITH + "SELECT id, upper(trim(regexp_replace(description_raw, '\\s+', ' ', 'g'))) AS description, concat(strftime(date, '%Y-%m-%d'), '|', regexp_replace(cast(amount AS varchar), '\\.?0+$', ''), '|', upper(trim(regexp_replace(description_raw, '\\s+', ' ', 'g'))), '|', direction) AS fingerprint FROM txns")
 def dedup_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("description_raw")
-    return txns(spark, sf).where("amount >= 0.01").select("id", nr.normalize_description(text).alias("description"), nr.dedup_fingerprint(F.col("date"), F.col("amount"), text, F.col("direction")).alias("fingerprint"))
+    return txns(spark, sf).select("id", nr.normalize_description(text).alias("description"), nr.dedup_fingerprint(F.col("date"), F.col("amount"), text, F.col("direction")).alias("fingerprint"))
 
 
 # Duplicates and transfers
@@ -341,10 +352,10 @@ def _greedy(candidates: str, block: str, turn: str, also: str = "") -> str:
     )
 
 
-def _linked_sql(sides: str, turn: str, liking: str, scope: str = "''", also: str = "") -> str:
+def _linked_sql(sides: str, turn: str, liking: str, scope: str = "", also: str = "") -> str:
     """Links of matching rows i to e, in order."""
     pairs = (
-        f"SELECT i.id AS incoming_id, e.id AS existing_id, concat({scope}, i.amount, i.direction) AS block_of, {turn} AS turn_of, {liking} AS liking, CASE WHEN {_SAME} THEN 'CANONICAL' ELSE 'FUZZY' END AS layer "
+        f"SELECT i.id AS incoming_id, e.id AS existing_id, concat({scope}i.amount, i.direction) AS block_of, {turn} AS turn_of, {liking} AS liking, CASE WHEN {_SAME} THEN 'CANONICAL' ELSE 'FUZZY' END AS layer "
         f"FROM kinds e JOIN kinds i ON {_NEAR} AND {sides} WHERE ({_SAME}) OR jaro_winkler_similarity(e.norm, i.norm) >= 0.92"
     )
     return _greedy(pairs, "block_of", "turn_of", also) + ", links AS (SELECT c.incoming_id, c.existing_id, p.layer FROM chosen c JOIN cands p ON p.incoming_id = c.incoming_id AND p.existing_id = c.existing_id) "
@@ -377,6 +388,19 @@ def find_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.find_duplicates(txns(spark, sf), accounts(spark, sf), keeper(spark))
 
 
+#: Twelve accounts in a row belong to one person.
+_OWNER = "concat('p', cast(cast(floor(account_seq / 12) as bigint) as string))"
+_OWNED = _KINDS.replace("SELECT l.*,", f"SELECT l.*, {_OWNER} AS owner,") + _linked_sql(
+    "e.is_credit_card <> i.is_credit_card AND e.account_seq < i.account_seq AND e.owner = i.owner", "(i.account_seq, i.txn_seq)", f"(CASE WHEN {_SAME} THEN 0 ELSE 1 END, e.account_seq, e.txn_seq)", scope="i.owner, '|', ", also=", incoming_id"
+)
+
+
+@query(_WITH + _OWNED + "SELECT * FROM links")
+def find_duplicates_by_owner(spark: SparkSession, sf: str) -> DataFrame:
+    """Links among the accounts of one person alone."""
+    return dedup.find_duplicates(txns(spark, sf), accounts(spark, sf).withColumn("owner", F.expr(_OWNER)), keeper(spark), owner="owner")
+
+
 @query(_WITH + _FOUND + "SELECT t.id, coalesce(t.superseded_by, l.existing_id) AS superseded_by, l.layer AS dedup_layer FROM txns t LEFT JOIN links l ON l.incoming_id = t.id")
 def link_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """transactions after the links are written."""
@@ -393,7 +417,7 @@ _AGAIN = "acct % 10 = 7 AND o_orderkey % 4 <> 0"
 _REIMPORT = (
     f", every AS (SELECT id, account_id, txn_seq, date, amount, direction, description_raw, is_deleted, superseded_by, false AS again FROM txns UNION ALL SELECT concat('again-', id), account_id, txn_seq + 1000000000, date, amount, direction, description_raw, is_deleted, superseded_by, true FROM ({_sql(TXN, 'base', _AGAIN)})), "
     f"kinds AS (SELECT *, {_NORM} AS norm FROM every WHERE NOT is_deleted AND superseded_by IS NULL)"
-    + _linked_sql("e.account_id = i.account_id AND i.again AND NOT e.again", "i.txn_seq", f"CASE WHEN {_SAME} THEN 0 ELSE 1 END * 1e12 + e.txn_seq", scope="i.account_id")
+    + _linked_sql("e.account_id = i.account_id AND i.again AND NOT e.again", "i.txn_seq", f"CASE WHEN {_SAME} THEN 0 ELSE 1 END * 1e12 + e.txn_seq", scope="i.account_id, '|', ")
 )
 
 
@@ -407,14 +431,14 @@ def reimported_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _transfer_rows(spark: SparkSession, sf: str) -> DataFrame:
-    of = accounts(spark, sf).select(F.col("id").alias("account_id"), "is_credit_card")
+    of = accounts(spark, sf).select(F.col("id").alias("account_id"), "is_credit_card", F.expr(_OWNER).alias("owner"))
     return txns(spark, sf).where("not is_deleted and transfer_group_id is null").join(of, "account_id")
 
 
 _TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({0}.description_raw), '\\s+'), lambda t: t <> ''))"
 _SIMILAR = f"(len(list_intersect({_TOKENS.format('o')}, {_TOKENS.format('i')})) / len(list_distinct(list_concat({_TOKENS.format('o')}, {_TOKENS.format('i')}))))"
 _BAND = (
-    ", rows AS (SELECT t.*, a.is_credit_card FROM txns t JOIN accounts a ON a.id = t.account_id WHERE NOT is_deleted AND transfer_group_id IS NULL), "
+    f", rows AS (SELECT t.*, a.is_credit_card, {_OWNER} AS owner FROM txns t JOIN accounts a ON a.id = t.account_id WHERE NOT is_deleted AND transfer_group_id IS NULL), "
     f"band AS (SELECT o.id AS outflow_id, i.id AS inflow_id, o.date AS o_date, o.amount AS o_amount, o.is_credit_card OR i.is_credit_card AS is_credit_card_payment, abs(date_diff('day', o.date, i.date)) AS days, abs(o.amount - i.amount) AS difference, {_SIMILAR} AS similarity "
     "FROM rows o JOIN rows i ON o.direction = 'Debit' AND i.direction = 'Credit' AND o.account_id <> i.account_id AND abs(date_diff('day', o.date, i.date)) <= 1 AND abs(o.amount - i.amount) <= 1), "
     "scored AS (SELECT *, round(greatest(1.0 - 0.2 * days - 0.2 * cast(difference AS double) + 0.2 * similarity, 0.0), 9) AS score FROM band)"
@@ -428,6 +452,15 @@ _RUNS = (
 )
 
 
+_OWNERS = " AND o.owner = i.owner AND abs(o.amount - i.amount) <= 1)"
+
+
+@query(_WITH + _BAND.replace(" AND abs(o.amount - i.amount) <= 1)", _OWNERS) + _RUNS + "SELECT * FROM pairs")
+def detect_transfers_by_owner(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs among the accounts of one person alone."""
+    return transfers.detect_transfers(_transfer_rows(spark, sf), keeper(spark), scope="owner").withColumn("score", F.round("score", 9))
+
+
 @query(_WITH + _BAND + " SELECT outflow_id, inflow_id, is_credit_card_payment, score FROM scored")
 def transfer_candidates(spark: SparkSession, sf: str) -> DataFrame:
     pairs = transfers.candidate_pairs(_transfer_rows(spark, sf))
@@ -524,10 +557,72 @@ def categorize_summary(spark: SparkSession, sf: str) -> DataFrame:
     return cat.summary(_decided(spark, sf))
 
 
-@query("SELECT 'r1' AS id, 50 AS priority, 'Health & Medical' AS category_name UNION ALL SELECT 'r2', 50, 'Shopping' UNION ALL SELECT 'r3', 60, 'Transport' UNION ALL SELECT 'r4', 1, 'Rent / EMI'")
+#: Rules that people wrote, one for each customer and supplier, and one that every customer's name matches. A tenth name no category.
+_SEGMENT = "CASE WHEN c_custkey % 10 = 3 THEN 'NOWHERE' ELSE concat('seg-', c_mktsegment) END"
+_WRITTEN = {
+    "customer": {"id": "concat('rc', cast(c_custkey as string))", "rule_seq": "cast(c_custkey as bigint)", "priority": "cast(c_custkey % 7 as bigint)", "is_system": "c_custkey % 2 = 0", "match_type": "'KEYWORD'", "value": "c_name", "category_id": _SEGMENT},
+    "supplier": {
+        "id": "concat('rs', cast(s_suppkey as string))", "rule_seq": "cast(1000000000 + s_suppkey as bigint)", "priority": "cast(s_suppkey % 5 as bigint)", "is_system": "false", "match_type": "'REGEX'",
+        "value": "concat('Supplier#0+', cast(s_suppkey as string), ' (paid|due)')", "category_id": "concat('nation-', cast(s_nationkey as string))",
+    },
+    "region": {"id": "'ra'", "rule_seq": "cast(0 as bigint)", "priority": "cast(9 as bigint)", "is_system": "true", "match_type": "'KEYWORD'", "value": "'customer#0000'", "category_id": "'any-customer'"},
+}
+#: What orders say: a customer's name, a supplier's, both, or neither's.
+_SAID = {
+    "id": "concat('o', cast(o_orderkey as string))",
+    "description_raw": (
+        "CASE o_orderkey % 4 WHEN 0 THEN concat('UPI-CUSTOMER#', lpad(cast(o_custkey as string), 9, '0'), ' REF') WHEN 1 THEN concat('pos supplier#', lpad(cast(o_custkey % 97 as string), 9, '0'), CASE WHEN o_orderkey % 3 = 0 THEN ' Paid' ELSE ' open' END) "
+        "WHEN 2 THEN concat('Customer#', lpad(cast(o_custkey as string), 9, '0'), ' to Supplier#', lpad(cast(o_orderkey % 89 as string), 9, '0'), ' due') ELSE 'nobody' END"
+    ),
+    "amount": "cast(1 as decimal(38, 10))",
+    "direction": "'Debit'",
+    "is_credit_card": "true",
+    "bank_code": "'HDFC'",
+    "source_category": "cast(null as string)",
+}
+_WRITTEN_SQL = "written AS (" + " UNION ".join(_sql(c, t) for t, c in _WRITTEN.items()) + ")"
+
+
+def _written(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [spark.read.parquet(f"{sf}/{t}.parquet").selectExpr(_expr(c)).distinct() for t, c in _WRITTEN.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).selectExpr(*(f"cast({c} as {k}) as {c}" for c, k in (x.split(" ", 1) for x in TABLES["rules"].split(", "))))
+
+
+@query(
+    f"WITH {_WRITTEN_SQL}, said AS ({_sql(_SAID, 'orders')}), hits AS (SELECT said.id, min((priority, is_system, rule_seq, category_id, written.id)) AS best FROM said JOIN written "
+    "ON CASE match_type WHEN 'KEYWORD' THEN contains(lower(description_raw), lower(value)) ELSE regexp_matches(description_raw, value, 'i') END GROUP BY said.id) "
+    "SELECT said.id, best[4] AS category_ref, CASE WHEN best IS NOT NULL THEN 'T3_RULE' END AS stage, best[5] AS matched_rule_id FROM said LEFT JOIN hits USING (id)"
+)
+def categorize_by_many_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule for each customer and supplier, matched by the automaton."""
+    said = dealt(spark.read.parquet(f"{sf}/orders.parquet")).selectExpr(_expr(_SAID))
+    none = [spark.createDataFrame([], TABLES[t]) for t in ("merchant_map", "source_category_map")]
+    return cat.categorize(said, none[0], _written(spark, sf), none[1]).select("id", "category_ref", "stage", "matched_rule_id")
+
+
+_SEGMENTS = "SELECT DISTINCT concat('seg-', c_mktsegment) AS id, lower(c_mktsegment) AS name, 'SPEND' AS classification, false AS is_builtin FROM customer"
+
+
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/customer.parquet").selectExpr("concat('seg-', c_mktsegment) as id", "lower(c_mktsegment) as name", "'SPEND' as classification", "false as is_builtin").distinct()
+
+
+@query(f"WITH {_WRITTEN_SQL}, categories AS ({_SEGMENTS}) SELECT w.id, w.priority, c.name AS category_name FROM written w JOIN categories c ON c.id = w.category_id")
 def list_rules(spark: SparkSession, sf: str) -> DataFrame:
-    rules = _category_facts(spark)[1].unionByName(spark.createDataFrame([_LOST_RULE], TABLES["rules"]))
-    return cat.list_rules(rules, default_categories(spark)).select("id", F.col("priority").cast("int").alias("priority"), "category_name")
+    """Rules of the customers whose category is in the catalog, in the order they are tried."""
+    return cat.list_rules(_written(spark, sf), _segments(spark, sf)).select("id", "priority", "category_name")
+
+
+@query(f"WITH categories AS ({_SEGMENTS}), map AS (SELECT c_custkey AS id, c_custkey % 7 AS priority, c_name AS pattern, {_SEGMENT} AS category_id FROM customer) SELECT m.id, m.priority, m.pattern, c.name AS category_name FROM map m JOIN categories c ON c.id = m.category_id")
+def list_merchants(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_custkey as id", "c_custkey % 7 as priority", "'LITERAL' as match_type", "c_name as pattern", f"{_SEGMENT} as category_id")
+    return cat.list_merchants(rows, _segments(spark, sf)).select("id", "priority", "pattern", "category_name")
+
+
+@query(f"WITH categories AS ({_SEGMENTS}), map AS (SELECT c_custkey AS id, c_name AS source_category, {_SEGMENT} AS category_id FROM customer) SELECT m.id, m.source_category, c.name AS category_name FROM map m JOIN categories c ON c.id = m.category_id")
+def list_source_map(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_custkey as id", "'HDFC' as bank_code", "c_name as source_category", f"{_SEGMENT} as category_id")
+    return cat.list_source_map(rows, _segments(spark, sf)).select("id", "source_category", "category_name")
 
 
 @query(_WITH + "SELECT CASE WHEN categorised_by = 'T3_RULE' THEN 'categorised_by' ELSE 'direction' END AS column, CASE WHEN categorised_by = 'T3_RULE' THEN 'GUESS' ELSE 'Sideways' END AS value, count(*) AS n FROM txns WHERE (categorised_by = 'T3_RULE') OR (txn_seq % 19 = 0 AND categorised_by IS DISTINCT FROM 'T3_RULE') GROUP BY ALL".replace(" AS column", ' AS "column"'))
@@ -554,9 +649,11 @@ def apply_memory(spark: SparkSession, sf: str) -> DataFrame:
     return memory.apply_memory(rows, known, "river books", shown).select("id", "category_id", "categorised_by")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', true)" for a, b, c in DEFAULT_CATEGORIES) + ") t(id, name, classification, is_builtin)")
+@query(_WITH + "SELECT c.id, c.name, c.classification, c.is_builtin, count(t.id) AS n FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', true)" for a, b, c in DEFAULT_CATEGORIES) + ") c(id, name, classification, is_builtin) LEFT JOIN live t ON t.category_id = c.id GROUP BY ALL")
 def category_catalog(spark: SparkSession, sf: str) -> DataFrame:
-    return default_categories(spark)
+    """The default categories, and how many live rows have each."""
+    used = txns(spark, sf).where(live()).groupBy(F.col("category_id").alias("id")).agg(F.count("*").alias("n"))
+    return default_categories(spark).join(used, "id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 # Parsing
