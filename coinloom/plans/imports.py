@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.categorize import categorize_stored
-from ..operators.dedup import Keep, find_duplicates, link, reimported_rows
+from ..operators.dedup import Keep, find_duplicates, link, reimported_rows, still_open
 from ..schema import TABLES, live
 from ..sources.store import Store
 
@@ -52,6 +52,9 @@ def _id(*parts: str) -> str:
 def import_statement(store: Store, request: Request, keep: Keep) -> Outcome:
     """Account, statement, rows, links to earlier imports, categories, duplicates; then one write.
 
+    Duplicates are sought among the rows that the statement or the last import can have changed
+    something for; a store that doesn't know them is matched in whole once.
+
     A statement without rows commits its account alone. A last4 only fills a blank.
     """
     spark = store.spark
@@ -97,8 +100,14 @@ def import_statement(store: Store, request: Request, keep: Keep) -> Outcome:
     decided = keep(decided, "decided")
     counts = decided.where("was_eligible").agg(F.count("category_id").alias("yes"), F.count("*").alias("n")).first()
     every = keep(every.where(~own).unionByName(decided.drop("was_eligible")), "categorized")
-    links = keep(find_duplicates(every, accounts, lambda d, n: keep(d, f"across_{n}")), "across")
+    # Only amounts that the statement brings, or that the last import left open, can give links.
+    reached = None
+    if store.has("open_groups"):
+        brought = every.where(F.col("statement_id") == statement_id).select("amount", "direction")
+        reached = keep(store.table("open_groups").unionByName(brought).distinct(), "reached")
+    links = keep(find_duplicates(every, accounts, lambda d, n: keep(d, f"across_{n}"), reached=reached), "across")
+    left_open = keep(still_open(links, every), "left_open")
     every = keep(link(every, links), "linked")
     added = every.where(live() & (F.col("statement_id") == statement_id)).count()
-    store.write({"accounts": accounts, "statements": statements.unionByName(statement), "transactions": every})
+    store.write({"accounts": accounts, "statements": statements.unionByName(statement), "transactions": every, "open_groups": left_open})
     return Outcome(account_id, created, statement_id, n, added, n - added, links.count() + again.count(), counts["yes"], counts["n"] - counts["yes"])

@@ -20,6 +20,7 @@ from ..operators import categorize as cat
 from ..operators import checks, coverage, dedup, history, memory, transfers
 from ..schema import CREDIT, DEBIT, DEFAULT_CATEGORIES, MONEY, TABLES, default_categories, live, migrate, signed_amount, violations
 from ..sources import printed_rows, statements
+from ..sources.history_files import HistoryFiles, with_names
 from ..streaming import statements as stream
 
 TODAY = "2025-11-30"
@@ -247,6 +248,44 @@ def history_third_page(spark: SparkSession, sf: str) -> DataFrame:
     return history.page(rows, 50, cursor=cursor).rows.select(*_SHOWN)
 
 
+def _files(spark: SparkSession, sf: str) -> tuple[HistoryFiles, DataFrame]:
+    of = accounts(spark, sf)
+    return HistoryFiles(spark, f"{keeper(spark).root}/history").write(txns(spark, sf), of), of
+
+
+@query(_WITH + f"{_ROWS} {_ORDER} LIMIT 50 OFFSET 100")
+def history_page_of_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The third page of a history in sorted files, reached by two cursors; each page reads the newest months that hold it."""
+    (files, of), keep, cursor = _files(spark, sf), keeper(spark), None
+    for i in range(2):
+        cursor = keep(files.page(50, cursor=cursor).cursor, f"cursor{i}")
+    return with_names(files.page(50, cursor=cursor).rows, of).withColumns(_double("amount")).select(*_SHOWN)
+
+
+@query(_WITH + f"{_ROWS} WHERE l.account_id = 'a7' AND l.category_id IS NULL AND l.categorised_by IS NULL {_ORDER} LIMIT 200")
+def history_worklist_of_files(spark: SparkSession, sf: str) -> DataFrame:
+    files, of = _files(spark, sf)
+    return with_names(files.page(1000, "a7", unanswered_only=True).rows, of).withColumns(_double("amount")).select(*_SHOWN)
+
+
+@query(_WITH + f"{_ROWS} WHERE l.account_id = 'nobody'")
+def history_of_unknown_account(spark: SparkSession, sf: str) -> DataFrame:
+    """An account that doesn't exist has an empty page."""
+    return history.page(_history(spark, sf), 50, account_id="nobody").rows.select(*_SHOWN)
+
+
+_CORRECTED = "coalesce(id = first_id, false)"
+
+
+@query(_WITH + f", first AS (SELECT min(id) AS first_id FROM live WHERE account_id = 'a7') SELECT id, CASE WHEN {_CORRECTED} THEN 'TRAVEL' ELSE category_id END AS category_id, CASE WHEN {_CORRECTED} THEN 'PERSON' ELSE categorised_by END AS categorised_by FROM txns, first")
+def set_transaction_category(spark: SparkSession, sf: str) -> DataFrame:
+    """A person's correction of one row."""
+    rows = txns(spark, sf)
+    first = rows.where(live() & (F.col("account_id") == "a7")).agg(F.min("id")).first()[0]
+    out, *_ = memory.set_transaction_category(rows, spark.createDataFrame([], TABLES["merchant_memory"]), first, "TRAVEL", True)
+    return out.select("id", "category_id", "categorised_by")
+
+
 @query(_WITH + f"{_ROWS} WHERE l.account_id = 'a7' AND l.category_id IS NULL AND l.categorised_by IS NULL {_ORDER} LIMIT 200")
 def history_account_worklist(spark: SparkSession, sf: str) -> DataFrame:
     return history.page(_history(spark, sf, True), 1000, account_id="a7").rows.select(*_SHOWN)

@@ -31,6 +31,7 @@ TABLES = {
     "rules": "id string, rule_seq long, priority long, is_system boolean, match_type string, value string, category_id string",
     "statements": "id string, account_id string, bank_code string, period_start date, period_end date, needs_review boolean, source string, created_at string",
     "merchant_memory": "merchant_portion string, category_id string",
+    "open_groups": f"amount {MONEY}, direction string",
 }
 
 #: Columns that an earlier schema version lacks, by the version that brought them; the others are of version 1.

@@ -1,0 +1,62 @@
+"""Pages of sorted files against one sort, and which months they open."""
+
+from __future__ import annotations
+
+import random
+from datetime import date, timedelta
+
+import pytest
+
+from coinloom.plans.queries import keeper
+from coinloom.sources.history_files import HistoryFiles
+
+ROWS = "id string, account_id string, txn_seq long, date date, is_deleted boolean, superseded_by string, category_id string, categorised_by string"
+
+
+def table(spark, rng, n, start, days, prefix="t", seq=0):
+    rows = [(f"{prefix}{k}", f"a{rng.randrange(5)}", seq + k, start + timedelta(rng.randrange(days)), rng.random() < 0.1, None if rng.random() < 0.9 else "x", rng.choice([None, "FUEL"]), None) for k in range(n)]
+    return rows, spark.createDataFrame(rows, ROWS)
+
+
+@pytest.fixture(scope="module")
+def accounts(spark):
+    return spark.createDataFrame([(f"a{k}", 10 - k) for k in range(5)] + [("idle", 99)], "id string, account_seq long")
+
+
+def wanted(rows, account=None, open_only=False):
+    own = [r for r in rows if not r[4] and r[5] is None and (account is None or r[1] == account) and (not open_only or r[6] is None)]
+    return [r[0] for r in sorted(own, key=lambda r: (-r[3].toordinal(), 10 - int(r[1][1:]), r[2]))]
+
+
+@pytest.mark.parametrize("account,open_only,limit", [(None, False, 17), ("a2", False, 5), (None, True, 40)])
+def test_pages_equal_one_sort(spark, accounts, tmp_path, account, open_only, limit):
+    rows, df = table(spark, random.Random(3), 130, date(2023, 11, 20), 120)
+    files = HistoryFiles(spark, f"file://{tmp_path}").write(df, accounts, buckets=3)
+    got, cursor, keep = [], None, keeper(spark)
+    for turn in range(40):
+        page = files.page(limit, account, cursor, open_only)
+        own = [r["id"] for r in page.rows.orderBy("date", ascending=False).collect()] and [r["id"] for r in page.rows.collect()]
+        got += own
+        cursor = keep(page.cursor, f"c{turn}")
+        if not own or cursor.isEmpty():
+            break
+    assert got == wanted(rows, account, open_only)
+
+
+def test_older_rows_are_not_opened(spark, accounts, tmp_path):
+    rng = random.Random(4)
+    new, df = table(spark, rng, 60, date(2024, 5, 1), 60)
+    _, old = table(spark, rng, 600, date(2014, 1, 1), 3600, "old", 1000)
+    small = HistoryFiles(spark, f"file://{tmp_path}/small").write(df, accounts)
+    large = HistoryFiles(spark, f"file://{tmp_path}/large").write(df.unionByName(old), accounts)
+    assert small.months(20) == large.months(20)
+    plans = [x.page(20).rows._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")) for x in (small, large)]
+    assert all("PartitionFilters" in p and "month" in p.split("PartitionFilters")[1][:200] for p in plans)
+    assert large.months(20) and max(large.months(20)) == 2024 * 12 + 6 and len(large.months(20)) <= 2
+    assert [r["id"] for r in large.page(20).rows.collect()] == wanted(new)[:20]
+    assert "PartitionFilters: [isnotnull(month" in large.page(20).rows._jdf.queryExecution().toString() or "month" in large.page(20).rows._jdf.queryExecution().toString()
+
+
+def test_no_rows(spark, accounts, tmp_path):
+    files = HistoryFiles(spark, f"file://{tmp_path}").write(spark.createDataFrame([("t", "a1", 1, date(2024, 1, 1), True, None, None, None), ("u", "a1", 2, None, False, None, None, None)], ROWS), accounts)
+    assert files.page(5).rows.count() == 0 and files.page(5, "nobody").rows.count() == 0 and files.page(5).cursor.count() == 0
