@@ -127,6 +127,43 @@ def may_be_alike(a: Column, b: Column, least: float) -> Column:
     return (a == b) | (jaro + bonus * (1 - jaro) >= least - 1e-9)
 
 
+#: Characters that a bag counts, up to four of each; what is beyond is counted together.
+BAG = "abcdefghijklmnopqrstuvwxyz0123456789 -/.*_@#&:,%"
+
+
+def letter_bag(text: Column) -> Column:
+    """The characters of a text as three longs, four bits a character: as many bits set as it occurs, four at most."""
+    longs = []
+    for start in range(0, len(BAG), 16):
+        bits = F.lit(0).cast("long")
+        for slot, c in enumerate(BAG[start : start + 16]):
+            times = F.least(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))), F.lit(4))
+            unary = F.element_at(F.array(*(F.lit((1 << k) - 1).cast("long") for k in range(5))), times + 1)
+            bits = bits.bitwiseOR(F.shiftleft(unary, 4 * slot))
+        longs.append(bits)
+    return F.array(*longs)
+
+
+def bags_may_be_alike(a: Column, b: Column, bag_a: Column, bag_b: Column, least: float) -> Column:
+    """False only where jaro_winkler(a, b) is below least, by the letters that two texts share.
+
+    Jaro finds no more characters of one text in the other than both have; with unary counts that is the
+    number of bits that both bags have, and at most all of what the bags don't count.
+    """
+
+    def size(of) -> Column:
+        return F.bit_count(of(0)) + F.bit_count(of(1)) + F.bit_count(of(2))
+
+    shared = size(lambda k: bag_a[k].bitwiseAND(bag_b[k]))
+    rest = F.least(F.length(a) - size(lambda k: bag_a[k]), F.length(b) - size(lambda k: bag_b[k]))
+    most = (shared + rest).cast("double")
+    jaro = (most / F.greatest(F.length(a), F.lit(1)) + most / F.greatest(F.length(b), F.lit(1)) + F.lit(1.0)) / 3
+    same = F.lit(0.0)
+    for k in range(1, 5):
+        same = same + F.when((F.left(a, F.lit(k)) == F.left(b, F.lit(k))) & (F.length(a) >= k) & (F.length(b) >= k), F.lit(0.1)).otherwise(F.lit(0.0))
+    return (a == b) | (F.least(jaro, F.lit(1.0)) + same * (1 - F.least(jaro, F.lit(1.0))) >= least - 1e-9)
+
+
 def jaro_winkler(a: Column, b: Column) -> Column:
     """The similarity of two texts; Spark has no built-in for it, so pairs go in Arrow batches."""
 
