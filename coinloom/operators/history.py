@@ -41,7 +41,8 @@ def list_transactions(transactions: DataFrame, account_id: str) -> DataFrame:
 
 
 def list_statements(statements: DataFrame, account_id: str) -> DataFrame:
-    return statements.where(F.col("account_id") == account_id).orderBy("created_at", "period_end", "id")
+    """An account's statements as they came; those of stores that kept no sequence first, by what they tell of it."""
+    return statements.where(F.col("account_id") == account_id).orderBy(F.col("statement_seq").asc_nulls_first(), "created_at", "period_end", "id")
 
 
 def ordered(df: DataFrame) -> DataFrame:

@@ -80,8 +80,8 @@ def import_statement(store: Store, request: Request, keep: Keep) -> Outcome:
 
     statement_id = _id("statement", account_id, request.period_end, str(len(store.versions())))
     statement = spark.createDataFrame(
-        [(statement_id, account_id, request.bank_code, request.period_start, request.period_end, request.needs_review, request.source, request.now)],
-        "id string, account_id string, bank_code string, period_start string, period_end string, needs_review boolean, source string, created_at string",
+        [(statement_id, (statements.agg(F.max("statement_seq")).first()[0] or 0) + 1, account_id, request.bank_code, request.period_start, request.period_end, request.needs_review, request.source, request.now)],
+        "id string, statement_seq long, account_id string, bank_code string, period_start string, period_end string, needs_review boolean, source string, created_at string",
     ).withColumns({"period_start": F.to_date("period_start"), "period_end": F.to_date("period_end")})
     last = transactions.agg(F.max("txn_seq")).first()[0] or 0
     # A statement has some hundreds of rows; line_index is unique in it and gives their order.

@@ -98,6 +98,7 @@ ACCOUNT = {
 }
 STATEMENT_OF = {
     "id": _STATEMENT,
+    "statement_seq": f"cast({_MONTH} as bigint) * 10000000 + acct",
     "account_id": "concat('a', cast(acct as string))",
     "period_end": f"DATE '2024-01-01' + cast({_MONTH} * 30 + 29 as int)",
     "needs_review": f"{_MONTH} % 5 = 0",
@@ -219,9 +220,9 @@ def list_transactions(spark: SparkSession, sf: str) -> DataFrame:
     return history.list_transactions(txns(spark, sf), "a7").select("id", "txn_seq", "is_deleted", "superseded_by")
 
 
-@query(_WITH + "SELECT id, period_end, needs_review, source FROM statements WHERE account_id = 'a7'")
+@query(_WITH + "SELECT id, statement_seq, period_end, needs_review, source FROM statements WHERE account_id = 'a7'")
 def list_statements(spark: SparkSession, sf: str) -> DataFrame:
-    return history.list_statements(statement_table(spark, sf), "a7").select("id", "period_end", "needs_review", "source")
+    return history.list_statements(statement_table(spark, sf), "a7").select("id", "statement_seq", "period_end", "needs_review", "source")
 
 
 def _history(spark: SparkSession, sf: str, unanswered: bool = False) -> DataFrame:

@@ -29,7 +29,7 @@ TABLES = {
     "merchant_map": "id long, priority long, match_type string, pattern string, category_id string",
     "source_category_map": "id long, bank_code string, source_category string, category_id string",
     "rules": "id string, rule_seq long, priority long, is_system boolean, match_type string, value string, category_id string",
-    "statements": "id string, account_id string, bank_code string, period_start date, period_end date, needs_review boolean, source string, created_at string",
+    "statements": "id string, statement_seq long, account_id string, bank_code string, period_start date, period_end date, needs_review boolean, source string, created_at string",
     "merchant_memory": "merchant_portion string, category_id string",
     "open_groups": f"amount {MONEY}, direction string",
 }
@@ -38,8 +38,9 @@ TABLES = {
 ADDED_COLUMNS = {
     "transactions": {"source_category": 2, "is_transfer": 3, "transfer_group_id": 3, "superseded_by": 4, "dedup_layer": 4, "statement_id": 5},
     "accounts": {"last4": 6},
+    "statements": {"statement_seq": 9},
 }
-SCHEMA_VERSION = 8
+SCHEMA_VERSION = 9
 
 #: Values that a column may hold besides null.
 ENUMERATIONS = {
