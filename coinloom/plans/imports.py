@@ -64,7 +64,7 @@ def import_statement(store: Store, request: Request, keep: Keep) -> Outcome:
         name, is_card, currency = request.new_account
         account_id = _id("account", request.bank_code, name, request.now)
         seq = (accounts.agg(F.max("account_seq")).first()[0] or 0) + 1
-        new = spark.createDataFrame([(account_id, seq, name, request.bank_code, is_card, currency, request.now, request.now, request.last4)], TABLES["accounts"])
+        new = spark.createDataFrame([(account_id, seq, name, request.bank_code, is_card, currency, request.now, request.now, request.last4, None)], TABLES["accounts"])
         accounts = accounts.unionByName(new)
     else:
         account_id = request.account_id
@@ -105,7 +105,7 @@ def import_statement(store: Store, request: Request, keep: Keep) -> Outcome:
     if store.has("open_groups"):
         brought = every.where(F.col("statement_id") == statement_id).select("amount", "direction")
         reached = keep(store.table("open_groups").unionByName(brought).distinct(), "reached")
-    links = keep(find_duplicates(every, accounts, lambda d, n: keep(d, f"across_{n}"), reached=reached), "across")
+    links = keep(find_duplicates(every, accounts, lambda d, n: keep(d, f"across_{n}"), owner="owner", reached=reached), "across")
     left_open = keep(still_open(links, every), "left_open")
     every = keep(link(every, links), "linked")
     added = every.where(live() & (F.col("statement_id") == statement_id)).count()

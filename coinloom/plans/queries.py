@@ -17,11 +17,13 @@ from pyspark.sql.window import Window
 from ..functions import narration as nr
 from ..functions import parsing as ps
 from ..operators import categorize as cat
-from ..operators import checks, coverage, dedup, history, memory, transfers
+from ..operators import checks, coverage, dedup, history, memory, resolution, transfers
 from ..schema import CREDIT, DEBIT, DEFAULT_CATEGORIES, MONEY, TABLES, default_categories, live, migrate, signed_amount, violations
 from ..sources import printed_rows, statements
 from ..sources.history_files import HistoryFiles, with_names
+from ..sources.store import Store
 from ..streaming import statements as stream
+from . import bulk
 
 TODAY = "2025-11-30"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -309,6 +311,74 @@ def signed_totals(spark: SparkSession, sf: str) -> DataFrame:
     return txns(spark, sf).where(live()).groupBy("account_id").agg(F.sum(signed_amount()).cast("double").alias("net"))
 
 
+# Imports
+
+_FAMILY = ("owner", "bank_code", "is_credit_card")
+#: Statements and accounts of few owners, many of whose accounts can't be told apart by what a statement says.
+_ASKED = {
+    "arrival": "o_orderkey",
+    "owner": "concat('p', cast(cast(floor(o_custkey / 10) as bigint) as string))",
+    "bank_code": _case("cast(floor(o_totalprice) as bigint) % 3", ("ICICI", "HDFC", "SBI")),
+    "is_credit_card": "cast(floor(o_totalprice / 3) as bigint) % 2 = 0",
+    "last4": "CASE cast(floor(o_totalprice / 6) as bigint) % 8 WHEN 6 THEN lpad(cast(cast(floor(o_totalprice) as bigint) % 10000 as string), 4, '0') WHEN 7 THEN NULL ELSE lpad(cast(cast(floor(o_totalprice / 6) as bigint) % 8 as string), 4, '0') END",
+}
+_HELD = {
+    "id": "concat('a', cast(c_custkey as string))",
+    "owner": "concat('p', cast(cast(floor(c_custkey / 10) as bigint) as string))",
+    "bank_code": _case("cast(c_nationkey % 3 as int)", ("ICICI", "HDFC", "SBI")),
+    "is_credit_card": "c_nationkey % 2 = 0",
+    "last4": "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE lpad(cast(c_custkey % 5 as string), 4, '0') END",
+}
+_GROUP = ", ".join(_FAMILY)
+#: A walk: every family's statements in order, with a list of its accounts as it is by then.
+_WALK = f"""WITH RECURSIVE asked AS (SELECT *, row_number() OVER (PARTITION BY {_GROUP} ORDER BY arrival) AS k FROM ({_sql(_ASKED, 'orders')})),
+held AS (SELECT {_GROUP}, list({{'id': id, 'last4': last4}} ORDER BY id) AS own FROM ({_sql(_HELD, 'customer')}) GROUP BY ALL),
+walk AS (
+SELECT {', '.join(f'a.{c}' for c in _FAMILY)}, cast(0 AS bigint) AS k, coalesce(own, []) AS own, cast(NULL AS bigint) AS arrival, '' AS action, cast(NULL AS varchar) AS account, false AS fills
+FROM (SELECT DISTINCT {_GROUP} FROM asked) a LEFT JOIN held h USING ({_GROUP})
+UNION ALL
+SELECT {_GROUP}, k, CASE WHEN action = 'CREATE' THEN list_append(own, {{'id': account, 'last4': last4}}) WHEN fills THEN list_transform(own, lambda x: CASE WHEN x.last4 IS NULL THEN {{'id': x.id, 'last4': last4}} ELSE x END) ELSE own END,
+arrival, action, account, fills FROM (
+SELECT *, CASE action WHEN 'CREATE' THEN concat('by ', arrival) WHEN 'ATTACH' THEN CASE WHEN last4 IS NULL THEN own[1].id WHEN fills THEN blank[1].id ELSE same[1].id END END AS account FROM (
+SELECT *, last4 IS NOT NULL AND len(same) = 0 AND len(blank) = 1 AS fills,
+CASE WHEN last4 IS NULL THEN CASE WHEN len(own) = 1 THEN 'ATTACH' ELSE 'ASK' END WHEN len(same) = 1 OR (len(same) = 0 AND len(blank) = 1) THEN 'ATTACH' WHEN len(same) = 0 AND len(blank) = 0 THEN 'CREATE' ELSE 'ASK' END AS action FROM (
+SELECT {', '.join(f'w.{c}' for c in _FAMILY)}, a.k, a.arrival, a.last4, w.own, list_filter(w.own, lambda x: x.last4 = a.last4) AS same, list_filter(w.own, lambda x: x.last4 IS NULL) AS blank
+FROM walk w JOIN asked a ON {' AND '.join(f'a.{c} = w.{c}' for c in _FAMILY)} AND a.k = w.k + 1))))
+"""
+
+
+@query(_WALK + "SELECT arrival, action, account, fills FROM walk WHERE k > 0")
+def resolved_accounts(spark: SparkSession, sf: str) -> DataFrame:
+    """The account of each statement of a batch, held against a walk of its owner's statements in order."""
+    asked, held = spark.read.parquet(f"{sf}/orders.parquet").selectExpr(_expr(_ASKED)), spark.read.parquet(f"{sf}/customer.parquet").selectExpr(_expr(_HELD))
+    out = resolution.resolve_accounts(asked, held, "owner")
+    return out.select("arrival", "action", F.coalesce(F.concat(F.lit("by "), "created_by"), "account_id").alias("account"), "fills")
+
+
+#: Each statement comes three times: whole, in part, and whole once more.
+_ARRIVAL = f"copies * 1000000000 + cast({_MONTH} as bigint) * 10000000 + acct"
+_TIMES = f"SELECT {_ARRIVAL} AS arrival, copies, acct, count(*) AS n FROM base, (SELECT unnest([0, 1, 2]) AS copies) WHERE copies <> 1 OR m % 3 <> 0 GROUP BY ALL"
+
+
+@query(
+    _WITH + f", times AS ({_TIMES}) SELECT arrival, CASE WHEN arrival = min(arrival) OVER (PARTITION BY acct) THEN 'CREATE' ELSE 'ATTACH' END AS action, n AS rows_read, CASE WHEN copies = 0 THEN n ELSE 0 END AS transactions_added, "
+    "CASE WHEN copies = 0 THEN 0 ELSE n END AS rows_superseded, CASE WHEN copies = 0 THEN 0 ELSE n END AS duplicates_linked FROM times"
+)
+def import_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """All statements of all owners in one batch, each three times; only the first brings anything new."""
+    rows = _base(spark, sf).withColumn("copies", F.explode(F.array(*(F.lit(x).cast("long") for x in range(3))))).where("copies <> 1 OR m % 3 <> 0")
+    row = F.struct(F.col("m").alias("line_index"), *(F.expr(TXN[c]).alias(n) for n, c in (("value_date", "date"), ("amount", "amount"), ("direction", "direction"), ("currency", "currency"), ("description_raw", "description_raw"))))
+    batch = rows.select(F.expr(_ARRIVAL).alias("arrival"), F.col("acct").cast("string").alias("owner"), row.alias("row")).groupBy("arrival", "owner").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    ends = F.transform("rows", lambda r: r["value_date"])
+    batch = batch.select(
+        "arrival", "owner", F.lit("HDFC").alias("bank_code"), F.lit(False).alias("is_credit_card"), F.lit("0000").alias("last4"), F.lit("Savings").alias("name"), F.array_min(ends).alias("period_start"),
+        F.array_max(ends).alias("period_end"), F.lit(False).alias("needs_review"), F.lit("Statement").alias("source"), "rows",
+    )
+    keep = keeper(spark)
+    done = bulk.import_batch(Store(spark, f"{keep.root}/store").create(), batch, "2025-11-30", keep)
+    return done.select("arrival", "action", "rows_read", "transactions_added", "rows_superseded", "duplicates_linked")
+
+
 # Coverage
 
 _COVERAGE = f"""

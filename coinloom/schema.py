@@ -19,7 +19,7 @@ STATEMENT, ALERT = "Statement", "Alert"
 RECONCILED, NEEDS_REVIEW = "RECONCILED", "NEEDS_REVIEW"
 
 TABLES = {
-    "accounts": "id string, account_seq long, name string, bank_code string, is_credit_card boolean, currency string, created_at string, updated_at string, last4 string",
+    "accounts": "id string, account_seq long, name string, bank_code string, is_credit_card boolean, currency string, created_at string, updated_at string, last4 string, owner string",
     "categories": "id string, name string, classification string, is_builtin boolean",
     "transactions": (
         f"id string, txn_seq long, account_id string, date date, description_raw string, amount {MONEY}, direction string, currency string, "
@@ -37,10 +37,10 @@ TABLES = {
 #: Columns that an earlier schema version lacks, by the version that brought them; the others are of version 1.
 ADDED_COLUMNS = {
     "transactions": {"source_category": 2, "is_transfer": 3, "transfer_group_id": 3, "superseded_by": 4, "dedup_layer": 4, "statement_id": 5},
-    "accounts": {"last4": 6},
+    "accounts": {"last4": 6, "owner": 10},
     "statements": {"statement_seq": 9},
 }
-SCHEMA_VERSION = 9
+SCHEMA_VERSION = 10
 
 #: Values that a column may hold besides null.
 ENUMERATIONS = {
