@@ -30,3 +30,12 @@ def test_duplicate_candidates_hold_every_pair_of_crowded_days(spark, sf_dir):
     want = {(e["id"], i["id"]) for e in rows for i in rows if not e["is_credit_card"] and i["is_credit_card"] and e["direction"] == i["direction"] and abs((e["date"] - i["date"]).days) <= 1}
     got = {(r["existing_id"], r["incoming_id"]) for r in own.QUERIES["duplicate_candidates"](spark, sf_dir).collect()}
     assert want and want <= got
+
+
+def test_transfer_candidates_hold_every_pair_of_crowded_days(spark, sf_dir):
+    """Of the popular amount, all outflows with all inflows of other accounts within a day and 1.00."""
+    rows = crowded(spark, sf_dir).where("not is_deleted and transfer_group_id is null and amount between 99.00 and 100.00").select("id", "account_id", "direction", "date", "amount").collect()
+    out, into = ([r for r in rows if r["direction"] == d] for d in ("Debit", "Credit"))
+    want = {(o["id"], i["id"]) for o in out for i in into if o["account_id"] != i["account_id"] and abs((o["date"] - i["date"]).days) <= 1 and abs(o["amount"] - i["amount"]) <= 1}
+    got = {(r["outflow_id"], r["inflow_id"]) for r in own.QUERIES["transfer_candidates"](spark, sf_dir).collect()}
+    assert want and want <= got
