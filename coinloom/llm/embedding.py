@@ -19,6 +19,10 @@ with more than BUCKET unrelated vectors, caps become higher until it doesn't, an
 so that two vectors of LEAST_COSINE still share as many on average. In few dimensions HEIGHT deviations would
 be beyond reach, so a cap is never higher than MOST_HEIGHT to begin with and there are fewer codes.
 
+Filters may miss a pair, so an exact check follows: vectors of a label lie in blocks of bounded size, each two
+blocks are multiplied in single precision, and pairs that may reach LEAST_COSINE, share no cluster and were not linked
+are held against each other in double precision as the others are. No link is lost; the check takes time as the square of a label.
+
 Cases: vectors that are null, zero, or hold null or non-finite components, and rows with a null
 label or id, link with nothing; vectors of different length never link; rows that share an id
 are one vertex; repeated rows count as vectors; an empty table gives an empty table; other
@@ -54,6 +58,8 @@ SMALL_BUCKET = 16
 #: the most hyperplanes that split such a bucket, and the largest part that is compared pair by pair.
 APART, MOST_SPLIT, SMALL_PART = 14, 10, 128
 TILE = 1024
+#: Exact check: bytes of a block in single precision, rows of it that are multiplied at once, and vectors of labels that share a group.
+BLOCK_BYTES, STRIP, SMALL_LABEL = 16 * 2**20, 128, 1024
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,6 +274,61 @@ def _tile(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": pd.Series([r[0] for r in rows], dtype="int64"), "b": pd.Series([r[1] for r in rows], dtype="Int64"), "n": pd.Series([r[2] for r in rows], dtype="int64")})
 
 
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors in single precision."""
+    for batch in batches:
+        units = pa.array([np.frombuffer(u, np.float64).astype(np.float32).tobytes() for u in batch.column(3).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], units], names=["part", "node", "cluster", "unit"])
+
+
+def _may_link(group: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of nodes of two blocks, or of one with itself, that may reach LEAST_COSINE and share no cluster."""
+    pairs = [np.empty((0, 2), np.int64)]
+    for _, own in group.groupby("part", sort=False):
+        x, y = int(own["x"].iloc[0]), int(own["y"].iloc[0])
+        sides = []
+        for block in (x, y):
+            s = own[own["block"] == block]
+            if s.empty:
+                break
+            units = np.frombuffer(b"".join(s["unit"]), np.float32).reshape(len(s), -1)
+            sides.append((s["node"].to_numpy(), s["cluster"].isna().to_numpy(), s["cluster"].fillna(0).to_numpy(np.int64), units))
+        if len(sides) < 2:
+            continue
+        (a, free, of_a, p), (b, b_free, of_b, q) = sides
+        # Rounding to single precision can't lower a cosine by more.
+        least = np.float32(LEAST_COSINE - (p.shape[1] + 8) * 1.2e-7)
+        for at in range(0, len(a), STRIP):
+            cut = slice(at, at + STRIP)
+            first = at if x == y else 0
+            link = p[cut] @ q[first:].T >= least
+            if not free[cut].all() and not b_free[first:].all():
+                link &= free[cut][:, None] | b_free[first:][None, :] | (of_a[cut][:, None] != of_b[first:][None, :])
+            i, j = np.nonzero(link)
+            m, n = a[cut][i], b[first:][j]
+            found = np.stack([np.minimum(m, n), np.maximum(m, n)], axis=1)[m != n]
+            pairs.append(np.unique(found, axis=0) if len(found) else found)
+    found = np.concatenate(pairs)
+    return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+
+def _missed(linked: DataFrame, clusters: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links that filters left out, in the form of linked."""
+    widths = reps.withColumn("width", F.length("unit"))
+    sizes = widths.groupBy("label", "width").agg(F.count("*").alias("n")).where("n > 1").withColumn("part", F.monotonically_increasing_id())
+    sizes = sizes.withColumns({"blocks": F.expr(f"cast(ceil(n * width / 2 / {BLOCK_BYTES}) as int)"), "alone": F.expr(f"n > {SMALL_LABEL}")})
+    sizes = scratch.table(sizes, "labels")
+    small = sizes.where("not alone").agg(F.sum(F.expr("n * width / 2"))).first()[0] or 0
+    groups = max(1, int(small // BLOCK_BYTES), min(64, int(small // 2**16)))
+    sizes = sizes.withColumn("together", F.when(F.col("alone"), F.col("part")).otherwise(F.pmod(F.xxhash64("part"), F.lit(groups)) - groups))
+    rows = widths.join(sizes.select("label", "width", "part"), ["label", "width"]).join(clusters, "node", "left").select("part", "node", "cluster", "unit").mapInArrow(_narrow, "part long, node long, cluster long, unit binary")
+    rows = rows.join(sizes.select("part", "blocks", "together"), "part").withColumn("block", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).select("together", "part", "x", "y", "block", "node", "cluster", "unit")
+    found = rows.groupBy("together", "x", "y").applyInPandas(_may_link, "a long, b long").distinct().join(linked.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    return scratch.table(_linked(scratch.table(found, "unlinked"), reps), "missed")
+
+
 def near_duplicates(vectors: DataFrame, scratch: Scratch, embedding: str = "embedding", label: str = "label", vec_id: str = "vec_id") -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id and kept."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(embedding).alias("embedding"))
@@ -295,6 +356,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, embedding: str = "embe
     pairs = pairs.join(clusters.toDF("a", "of_a"), "a", "left").join(clusters.toDF("b", "of_b"), "b", "left")
     pairs = pairs.where("of_a is null or of_b is null or of_a <> of_b").select("a", "b")
     linked = scratch.table(_linked(pairs, reps), "linked")
+    linked = linked.unionByName(_missed(linked, clusters, reps, scratch))
 
     sized = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("long").alias("tiles"))
     tiled = clusters.join(sized, "cluster").join(reps.select("node", "unit", "copies"), "node")

@@ -144,3 +144,33 @@ def test_caps_for_more_vectors_keep_recall_and_bucket_sizes(dims):
         print(dims, rows, codes, round(height, 3), np.mean(decoded), np.mean(shared), sizes[rows])
         assert np.mean(np.array(shared) > 0) >= 0.95
     assert max(sizes.values()) < embedding.SMALL_BUCKET
+
+
+def test_no_link_is_left_out(spark, scratch):
+    """Labels whose vectors lean along several directions, which filters serve least, small labels and an id with two vectors."""
+    rng, rows = np.random.default_rng(23), []
+    for k in range(4):
+        lean = rng.standard_normal(64)
+        x = rng.standard_normal((500, 64)) / 8 * 0.42 + 0.9 * lean / np.linalg.norm(lean)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = rng.standard_normal((300, 64))
+        y -= (y * x[:300]).sum(1, keepdims=True) * x[:300]
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        rows += [(0, v.tolist()) for v in np.concatenate([x, 0.9305 * x[:300] + (1 - 0.9305**2) ** 0.5 * y])]
+    rows += [(int(1 + i // 3), v.tolist()) for i, v in enumerate(rng.random((90, 64)))] + [(500, v.tolist()) for v in rng.random((60, 24))]
+    rows = [(i, label, v) for i, (label, v) in enumerate(rows)]
+    got = run(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(4), scratch)
+    want = brute(rows)
+    print("links", sum(n for n, _ in got.values()), sum(n for n, _ in want.values()))
+    assert got == want
+
+
+def test_exact_check_over_several_blocks(spark, scratch, monkeypatch):
+    """With filters that find nothing, the exact check finds every link, over blocks of a few rows as over one."""
+    monkeypatch.setattr(embedding, "MOST_SIDES", -1)
+    monkeypatch.setattr(embedding, "BLOCK_BYTES", 64 * 40 * 4)
+    monkeypatch.setattr(embedding, "SMALL_LABEL", 8)
+    monkeypatch.setattr(embedding, "STRIP", 7)
+    rows = clustered(5, [1, 2, 3, 12, 1, 9, 4, 4, 7, 9, 2, 2, 8, 8, 8, 11, 13])
+    got = run(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(3), scratch)
+    assert got == brute(rows)
